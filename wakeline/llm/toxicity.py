@@ -135,20 +135,26 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, max_positive: int,
         lookup = Lookup(sent.value)
         return pd.Series([lookup.find(t or "").astype(np.int32) for t in texts])
 
-    rows = sample.select("doc_id", "y", F.pandas_udf(known, "array<int>")("text").alias("x")).toPandas()
-    rows = rows.assign(x=[np.asarray(x, dtype=np.int64) for x in rows["x"]]).sort_values(["y", "doc_id"], kind="stable")
-    pos, unl = list(rows.loc[rows["y"] == 1, "x"]), list(rows.loc[rows["y"] == 0, "x"])
-    if not pos or not unl:
+    n_u = sample.where("y = 0").count()
+    if not n_u:
         return none
-    width = len(hashes)
-    in_p, in_u = (np.bincount(np.concatenate(x).astype(np.int64), minlength=width) / len(x) for x in (pos, unl))
-    smooth = (in_u * len(unl) + 1) / (len(unl) + 2)
-    keep = np.flatnonzero((in_p >= LIFT * in_u) & (in_p - smooth >= SIGMAS * np.sqrt(smooth / len(pos))))
+    common = sample.where("y = 0").select(F.explode(F.pandas_udf(known, "array<int>")("text")).alias("at")).groupBy("at").agg(F.count("*").alias("c")).toPandas()
+    in_p, in_u = np.zeros(len(hashes)), np.zeros(len(hashes))
+    in_p[np.searchsorted(hashes, held["h"].to_numpy(dtype=np.int32).view(np.uint32))] = held["c"] / n_p
+    in_u[common["at"].to_numpy(dtype=np.int64)] = common["c"] / n_u
+    smooth = (in_u * n_u + 1) / (n_u + 2)
+    keep = np.flatnonzero((in_p >= LIFT * in_u) & (in_p - smooth >= SIGMAS * np.sqrt(smooth / n_p)))
     if not len(keep):
         return none
-    place = np.full(width, -1)
-    place[keep] = np.arange(len(keep))
-    pos, unl = ([(q := place[x])[q >= 0] for x in part] for part in (pos, unl))
+    kept = docs.sparkSession.sparkContext.broadcast(hashes[keep])
+
+    def chosen_only(texts: pd.Series) -> pd.Series:
+        lookup = Lookup(kept.value)
+        return pd.Series([lookup.find(t or "").astype(np.int32) for t in texts])
+
+    rows = sample.select("doc_id", "y", F.pandas_udf(chosen_only, "array<int>")("text").alias("x")).toPandas()
+    rows = rows.assign(x=[np.asarray(x, dtype=np.int64) for x in rows["x"]]).sort_values(["y", "doc_id"], kind="stable")
+    pos, unl = list(rows.loc[rows["y"] == 1, "x"]), list(rows.loc[rows["y"] == 0, "x"])
     p = Sparse(pos, len(keep))
     bags = [fit_risk(p, Sparse(unl[b::BAGS] if len(unl) >= 10 * BAGS else unl, len(keep)), prior) for b in range(BAGS)]
     return hashes[keep], np.mean(bags, axis=0), prior
