@@ -132,20 +132,22 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_su
     seen = docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(_analyse, _ANALYSED)(F.col(text_col)).alias("p"))
     seen = scratch.cut(seen.select("doc_id", "p.*", F.monotonically_increasing_id().alias("row")), "analysed")
     near = seen.where("size(near) > 0").select("row", "text_hash", F.explode("near").alias("n")).select("row", "text_hash", "n.*")
-    support = (
-        near.select("entity", "term", "text_hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("c")).where(F.col("c") >= min_support)
-    )
-    support = scratch.cut(support, "support")
+    total = docs.select(F.xxhash64(text_col).alias("h")).where("h is not null").distinct().count()
+    pairs = near.select("entity", "term", "text_hash").distinct()
+    support = pairs.groupBy("entity", "term").agg(F.count("*").alias("c")).where(F.col("c") >= min_support)
+    holds = near.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("e"))
+    # The texts in which a term stands near any entity are among those that hold it: a term that is too common
+    # there discloses nothing, and needs no count over the whole corpus.
+    beside = near.select("term", "text_hash").distinct().groupBy("term").agg(F.count("*").alias("d"))
+    share = f"log2(c * n / (d * e)) >= {discloses} * log2(n / e) and n > e"
+    support = support.join(beside, "term").join(holds, "entity").withColumn("n", F.lit(float(max(total, 1)))).where(share)
+    support = scratch.cut(support.drop("d"), "support")
     flagged = None
     if not support.isEmpty():
         wanted = support.select("term").distinct()
-        total = docs.select(F.xxhash64(text_col).alias("h")).where("h is not null").distinct().count()
         texts = docs.select(F.xxhash64(text_col).alias("h"), F.explode(_terms(F.col(text_col))).alias("term"))
         held = texts.join(wanted, "term").distinct().groupBy("term").agg(F.count("*").alias("d"))
-        holds = near.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("e"))
-        rated = support.join(held, "term").join(holds, "entity").withColumn("n", F.lit(float(max(total, 1))))
-        share = "log2(c * n / (d * e)) >= {0} * log2(n / e) and n > e"
-        flagged = scratch.cut(rated.where(share.format(discloses)).select("entity", "term"), "flagged")
+        flagged = scratch.cut(support.join(held, "term").where(share).select("entity", "term"), "flagged")
     if flagged is None:
         return seen.select("doc_id", "row", "base", F.col("base").alias("spans"))
     more = (
