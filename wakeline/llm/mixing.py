@@ -28,7 +28,7 @@ from wakeline.llm.common import Scratch, table
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET = 1.5
 MOST = 2
-SHARE = 2000
+SHARE = 250
 ROUNDS = 40
 
 
