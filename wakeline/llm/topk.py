@@ -4,7 +4,7 @@ Components are quantised to floor(256 x).  Candidates come in blocks; a block ke
 vectors sorted by that component.  For a query, the lists are read in order, from the end that its sign
 favours, all to the same depth.  A vector's score lies between what was read of it plus the worst, and plus
 the next unread, value of each list it was not yet read in.  Reading stops when, for all but a few vectors,
-the upper bound is below the k-th best lower bound, and those few get their final scores.  The k-th best score
+the upper bound is below the k-th best lower bound, and the rest get their final scores.  The k-th best score
 of earlier blocks, and among the queries themselves, is a lower bound from the start.
 
 Queries go in broadcast blocks of ``QUERY_BLOCK``, so what is broadcast is bounded; each task returns at most
@@ -25,9 +25,9 @@ from wakeline.llm.common import Scratch, table
 
 QUERY_BLOCK = 4096
 BLOCK = 8192
-DEPTHS = (0.2, 0.35, 0.45, 0.55, 0.65, 0.8, 1.0)
+DEPTHS = (0.3, 0.45, 0.6, 1.0)
 #: Reading ends when this share of a block, or fewer, is left to resolve.
-FEW = 0.06
+FEW = 0.3
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -53,38 +53,39 @@ class Lists:
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.values = ids, values
-        self.up = np.argsort(values, axis=0, kind="stable").astype(np.int32)
-        self.ranked = np.take_along_axis(values, self.up, axis=0)
+        by_dim = np.ascontiguousarray(values.T)
+        self.up = np.argsort(by_dim, axis=1, kind="stable")
+        self.ranked = np.take_along_axis(by_dim, self.up, axis=1)
 
     def top(self, query_id: int, q: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of all vectors that may be among the k best with a score of ``floor`` or more."""
         n, (plus, minus) = len(self.ids), (np.flatnonzero(q > 0), np.flatnonzero(q < 0))
         dims = np.concatenate([plus, minus])
         w = q[dims]
-        worst = np.concatenate([q[plus] * self.ranked[0, plus], q[minus] * self.ranked[-1, minus]])
-        best = np.concatenate([q[plus] * self.ranked[-1, plus], q[minus] * self.ranked[0, minus]])
+        worst = np.concatenate([q[plus] * self.ranked[plus, 0], q[minus] * self.ranked[minus, -1]])
+        best = np.concatenate([q[plus] * self.ranked[plus, -1], q[minus] * self.ranked[minus, 0]])
         if best.sum() < floor or n == 0:
             return self.ids[:0], np.zeros(0)
-        got, unread = np.zeros(n), np.ones((n, len(dims)), dtype=np.float32)
+        got, unread = np.zeros(n), np.ones((len(dims), n), dtype=np.float32)
         own, at = self.ids == query_id, 0
-        alive = np.flatnonzero(~own)
-        column = np.arange(len(dims))
+        alive = np.flatnonzero(~own) if own.any() else np.arange(n)
+        bounded = np.isfinite(floor)
+        line = np.arange(len(dims))[:, None]
         for depth in DEPTHS:
             to = min(n, max(at + 1, int(np.ceil(depth * n))))
-            rows = np.hstack([self.up[n - to : n - at, plus], self.up[at:to, minus]])
-            read = np.hstack([self.ranked[n - to : n - at, plus], self.ranked[at:to, minus]]) * w
+            rows = np.concatenate([self.up[plus, n - to : n - at], self.up[minus, at:to]])
+            read = np.concatenate([self.ranked[plus, n - to : n - at], self.ranked[minus, at:to]]) * w[:, None]
             got += np.bincount(rows.ravel(), weights=read.ravel(), minlength=n)
-            unread[rows, column] = 0
+            unread[line, rows] = 0
             at = to
             if at == n:
                 break
-            following = np.concatenate([q[plus] * self.ranked[n - 1 - at, plus], q[minus] * self.ranked[at, minus]])
-            part = unread[alive]
+            following = np.concatenate([q[plus] * self.ranked[plus, n - 1 - at], q[minus] * self.ranked[minus, at]])
             # Bounds are in single precision but for what was read: a margin keeps them on the safe side.
             margin = 1e-5 * np.abs(np.stack([worst, following])).sum() + 1e-6
-            upper = got[alive] + part @ following.astype(np.float32) + margin
-            lower = got[alive] + part @ worst.astype(np.float32) - margin
-            if len(alive) > k:
+            upper = (got + following.astype(np.float32) @ unread)[alive] + margin
+            if not bounded and len(alive) > k:
+                lower = (got + worst.astype(np.float32) @ unread)[alive] - margin
                 floor = max(floor, np.partition(lower, len(lower) - k)[len(lower) - k])
             alive = alive[upper >= floor]
             if len(alive) <= max(k, FEW * n):
@@ -122,7 +123,8 @@ def _search(queries: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, frames:
     if ids:
         block(ids, rows)
     out = [(int(q), vec, int(-s)) for q, own in zip(q_ids, found, strict=True) for s, vec in own]
-    yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+    if out:
+        yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
 def _floors(ids: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
