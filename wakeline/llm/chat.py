@@ -75,22 +75,24 @@ def best_paths(scratch: Scratch, nodes: DataFrame, paths: int = 1) -> DataFrame:
     )
     state = scratch.cut(state, "paths")
     largest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    jumps = [state]
+    # Only nodes that have not met their root are joined again; jumps[k] leads 2**k messages up.
+    settled, live = state.where("up is null"), scratch.cut(state.where("up is not null"), "live")
+    jumps = []
     for _ in range(math.ceil(math.log2(largest)) + 1 if largest else 0):
-        if state.where("up is not null").isEmpty():
+        if live.isEmpty():
             break
-        over = state.select("tree", F.col("node").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"), F.col("total").alias("plus"))
-        state = state.join(over, ["tree", "up"], "left").select(
-            "tree", "node", F.col("further").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total")
-        )
-        state = scratch.cut(state, "paths")
-        jumps.append(state)
-    inner = jumps[0].where("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    leaves = state.where("up is null").join(inner, ["tree", "node"], "left_anti")
+        jumps.append(live)
+        over = settled.union(live).select("tree", F.col("node").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"), F.col("total").alias("plus"))
+        moved = live.join(over, ["tree", "up"]).select("tree", "node", F.col("further").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("plus")).alias("total"))
+        moved = scratch.cut(moved, "moved")
+        settled, live = settled.union(moved.where("up is null")), moved.where("up is not null")
+    state = settled
+    inner = jumps[0].select("tree", F.col("up").alias("node")).distinct() if jumps else nodes.select("tree", "node").limit(0)
+    leaves = state.join(inner, ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy((F.col("total") / F.col("depth")).desc(), F.col("depth").desc(), "node"))
     chosen = leaves.withColumn("rank", rank).where(F.col("rank") <= paths).select("tree", F.col("node").alias("leaf"), "node")
-    for jump in reversed(jumps[:-1]):
-        up = jump.where("up is not null").select("tree", "node", "up")
+    for jump in reversed(jumps):
+        up = jump.select("tree", "node", "up")
         both = F.expr("filter(array(node, up), n -> n is not null)")
         chosen = chosen.join(up, ["tree", "node"], "left").select("tree", "leaf", F.explode(both).alias("node"))
     return chosen.join(state.select("tree", "node", F.col("depth").alias("place")), ["tree", "node"]).select("tree", "leaf", "place", "node")
