@@ -214,7 +214,8 @@ def fit(pages: DataFrame, max_pages: int) -> dict[str, float]:
                     inside.update(got[0])
                     outside.update(got[1])
         kinds = sorted(inside.keys() | outside.keys())
-        yield pd.DataFrame({"kind": kinds, "inside": [inside[k] for k in kinds], "outside": [outside[k] for k in kinds]})
+        if kinds:
+            yield pd.DataFrame({"kind": kinds, "inside": [inside[k] for k in kinds], "outside": [outside[k] for k in kinds]})
 
     n = pages.count()
     some = pages.where("html is not null").where(F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_pages / max(n, 1))))
