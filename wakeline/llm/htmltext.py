@@ -181,6 +181,12 @@ def best_run(scores: np.ndarray) -> tuple[int, int]:
     return int(np.flatnonzero(total[: hi + 1] == low[hi])[-1]), hi
 
 
+def _unseen(kind: str, word: bool) -> float:
+    """Weight of a class that no labelled page shows."""
+    name = kind.lstrip("/")
+    return 1.0 if word else -4.0 if name in OUTSIDE or name == "header" else -1.0 if name in _CONTAINERS else -0.2
+
+
 def extract(source: str | None, model: dict[str, float]) -> str:
     if not source:
         return ""
@@ -188,7 +194,7 @@ def extract(source: str | None, model: dict[str, float]) -> str:
     words = page.words()
     if not words.any():
         return ""
-    per = np.array([model.get(k, 1.0 if t is not None else -2.0) for k, t in zip(page.kinds, page.texts, strict=True)])
+    per = np.array([model.get(k, _unseen(k, t is not None)) for k, t in zip(page.kinds, page.texts, strict=True)])
     lo, hi = best_run(np.where([t is not None for t in page.texts], per * words, per))
     clean = np.concatenate([[0], np.cumsum(np.where(page.skips, 0, words))])
     mine = clean[hi] - clean[lo]
