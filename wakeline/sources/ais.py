@@ -39,9 +39,12 @@ def resolve_aliases(raw: DataFrame, required: tuple[str, ...] = REQUIRED) -> Dat
     return raw.select(*kept, *(F.col(a).alias(name) for name, a in found.items() if a))
 
 
-def number(c: str, strict: bool = False) -> Column:
-    """A double; junk and NaN become null, or with ``strict`` junk is an error."""
-    if strict:
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def number(c: str, strict: bool = False, kind: str = "string") -> Column:
+    """A double; junk and NaN become null, or with ``strict`` junk is an error.  Numbers are not parsed anew."""
+    if strict or kind in _NUMBERS:
         v = F.col(c).cast("double")
     else:
         text = F.trim(F.col(c).cast("string"))
@@ -49,8 +52,10 @@ def number(c: str, strict: bool = False) -> Column:
     return F.when(~F.isnan(v), v)
 
 
-def timestamp(c: str, compact_only: bool = False) -> Column:
-    """ISO, else yyyyMMddHHmmss; null if neither."""
+def timestamp(c: str, compact_only: bool = False, kind: str = "string") -> Column:
+    """ISO, else yyyyMMddHHmmss; null if neither.  Timestamps are not parsed anew."""
+    if kind.startswith("timestamp"):
+        return F.col(c).cast("timestamp_ntz")
     text = F.col(c).cast("string")
     compact = F.when(text.rlike("^[0-9]{14}$"), F.try_to_timestamp(text, F.lit("yyyyMMddHHmmss")))
     auto = F.when(~text.rlike("^[0-9]+$"), F.try_to_timestamp(text))
@@ -69,12 +74,13 @@ def clean(raw: DataFrame, mmsi: int | None = None, keep_missing_sog: bool = Fals
     df = df.withColumn("mmsi", F.col("mmsi").cast("string").try_cast("bigint") if "mmsi" in df.columns else F.lit(None).cast("bigint"))
     if mmsi is not None:
         df = df.where(F.col("mmsi") == mmsi)
+    kinds = dict(df.dtypes)
     for c in ("lat", "lon", "sog", "heading"):
         if c in df.columns:
-            df = df.withColumn(c, number(c, strict and c in ("lat", "lon")))
+            df = df.withColumn(c, number(c, strict and c in ("lat", "lon"), kinds[c]))
         elif c == "sog":
             df = df.withColumn(c, F.lit(None).cast("double"))
-    df = df.withColumn("ts", timestamp("ts", compact_ts)).where(in_range())
+    df = df.withColumn("ts", timestamp("ts", compact_ts, kinds["ts"])).where(in_range())
     df = df.dropna(subset=["lat", "lon", "ts"] if keep_missing_sog else ["lat", "lon", "ts", "sog"])
     if sog_range is not None:
         df = df.where(F.col("sog").between(*sog_range))
