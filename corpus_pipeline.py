@@ -20,7 +20,7 @@ HIT_SHARE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: those without text or without a letter."""
     pred = langid.identify(docs, keep=tuple(docs.columns))
-    return pred.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    return pred.where(F.col("lang_pred") != langid.UNKNOWN).select("kept.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    got = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), extra=tuple(docs.columns))
+    got = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
     clean = (F.col("n_items") < ITEMS) & (F.col("n_hit") < F.greatest(F.col("n_words") * HIT_SHARE, F.lit(1)))
-    return got.where(clean).select(*docs.columns)
+    return got.where(clean).select("kept.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

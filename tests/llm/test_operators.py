@@ -232,3 +232,41 @@ def test_pipeline(spark):
     for r in out:
         per.setdefault(r.source, [r.target, 0])[1] += r.taken
     assert all(abs(taken - target) <= max(30, 0.05 * target) for target, taken in per.values())
+
+
+CLASH = ("kept", "_p", "key", "spans", "rest", "lang_pred", "score", "held_out", "n_items", "n_hit", "n_words", "contaminated", "fp", "component_id", "row", "size", "copies", "target")
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_on_edge_rows(spark, empty):
+    """Nulls in each column, repeated rows, odd texts, clashing columns; each stage keeps the columns."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 60").orderBy("item_id").first().text
+    base = "the cat and the dog went over the hill to see what the river had brought them that day " * 3
+    rows = [
+        (1, base, "en", "a"), (1, base, "en", "a"), (2, base, None, None), (None, base + "more", "en", "a"), (3, None, "en", "a"), (4, "", "en", "b"), (5, "12 34 !!", "en", "b"),
+        (6, "write to jo@corp.example soon", "en", None), (7, item, "en", "b"), (8, "long " * 50_000 + "tail", "en", "b"), (9, None, None, None), (None, None, None, None),
+    ]
+    plain = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").where("false" if empty else "true")
+    docs = plain.select("*", *(F.lit(f"own {c}").alias(c) for c in CLASH))
+    ids = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        if name != "mixture":
+            assert out.columns == docs.columns
+            kept = out.collect()
+            assert all(r[c] == f"own {c}" for r in kept for c in CLASH)
+            ids[name] = sorted((r.doc_id is None, r.doc_id or 0) for r in kept)
+            texts = {r.doc_id: r.text for r in kept}
+            docs = spark.createDataFrame(kept, docs.schema)
+        else:
+            assert {"doc_id", "text", "source", "copies", "taken"} <= set(out.columns) and out.count() == len(kept)
+    if empty:
+        assert all(v == [] for v in ids.values())
+        return
+    known = lambda name: [i for null, i in ids[name] if not null]
+    assert known("language") == [1, 1, 2, 6, 7, 8] and known("near_duplicates") == [1, 6, 7, 8]
+    assert known("decontaminate") == known("personal_data") == [1, 6, 8] and texts[6] == "write to [EMAIL] soon"
+    assert sum(null for null, _ in ids["personal_data"]) == 1

@@ -90,8 +90,8 @@ def _parts(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tu
     yield part
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = WIDTH, extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (two items or more), hit_spans and ``extra`` columns."""
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = WIDTH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (two items or more), hit_spans and, if there are columns to ``keep``, a struct ``kept`` of them."""
     sc = docs.sparkSession.sparkContext
     models = [sc.broadcast(automaton(part, width)) for part in _parts(benchmark, item_col, text_col)]
 
@@ -108,8 +108,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return pd.DataFrame(out, columns=["n_words", "n_hit", "n_items", "items_sha256", "hit_spans"])
 
     kind = "n_words long, n_hit long, n_items long, items_sha256 string, hit_spans array<struct<start: int, end: int>>"
-    got = docs.select(F.col(id_col).alias("doc_id"), *(c for c in extra if c != "doc_id"), F.pandas_udf(run, kind)(F.col(text_col)).alias("_p"))
-    return got.select("doc_id", *(c for c in extra if c != "doc_id"), "_p.*", (F.col("_p.n_items") >= 2).alias("contaminated"))
+    kept = [F.struct(*keep).alias("kept")] if keep else []
+    got = docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(run, kind)(F.col(text_col)).alias("_p"), *kept)
+    return got.select("doc_id", "_p.*", (F.col("_p.n_items") >= 2).alias("contaminated"), *(["kept"] if keep else []))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,7 +124,7 @@ def predict(texts: list[str | None], langs: list[str], matrix: np.ndarray) -> tu
 def identify(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: tuple[int, int] = (4, 2), max_docs: int = 20_000, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, and the columns to ``keep``.  Fold ``crc32(id) mod held_out[0] = held_out[1]`` teaches nothing."""
+    """doc_id, held_out, lang_pred, score and, if there are columns to ``keep``, a struct ``kept`` of them.  Fold ``crc32(id) mod held_out[0] = held_out[1]`` teaches nothing."""
     spark = docs.sparkSession
     k, out = held_out
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(crc_fold(id_col, k) != out)
@@ -138,10 +138,11 @@ def identify(
         pred, score = predict(list(texts), *model.value)
         return pd.DataFrame({"lang_pred": pred, "score": score})
 
+    kept = [F.struct(*keep).alias("kept")] if keep else []
     scored = docs.select(
-        F.col(id_col).alias("doc_id"), (crc_fold(id_col, k) == out).alias("held_out"), F.pandas_udf(run, "lang_pred string, score double")(F.col(text_col)).alias("_p"), *(c for c in keep if c != "doc_id")
+        F.col(id_col).alias("doc_id"), (crc_fold(id_col, k) == out).alias("held_out"), F.pandas_udf(run, "lang_pred string, score double")(F.col(text_col)).alias("_p"), *kept
     )
-    return scored.select("doc_id", "held_out", "_p.lang_pred", "_p.score", *(c for c in keep if c != "doc_id"))
+    return scored.select("doc_id", "held_out", "_p.lang_pred", "_p.score", *(["kept"] if keep else []))
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

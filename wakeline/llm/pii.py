@@ -132,7 +132,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_su
     seen = docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(_analyse, _ANALYSED)(F.col(text_col)).alias("p"))
     seen = scratch.cut(seen.select("doc_id", "p.*", F.monotonically_increasing_id().alias("row")), "analysed")
     near = seen.where("size(near) > 0").select("row", "text_hash", F.explode("near").alias("n")).select("row", "text_hash", "n.*")
-    total = docs.select(F.xxhash64(text_col).alias("h")).where("h is not null").distinct().count()
+    total = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("h")).distinct().count()
     pairs = near.select("entity", "term", "text_hash").distinct()
     support = pairs.groupBy("entity", "term").agg(F.count("*").alias("c")).where(F.col("c") >= min_support)
     holds = near.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("e"))
@@ -187,11 +187,13 @@ def redact(text: str | None, spans) -> str | None:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with their texts sanitised, columns and rows kept.  Rows of one id share their text's spans by text, not by id."""
     found = find(docs.select(F.md5(text_col).alias("doc_id"), F.col(text_col)), "doc_id", text_col).where("size(spans) > 0")
-    found = found.groupBy("doc_id").agg(F.first("spans").alias("_spans")).withColumnRenamed("doc_id", "_key")
-    keyed = docs.withColumn("_key", F.md5(text_col))
-    out = keyed.join(found, "_key", "left")
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.pandas_udf(_redact_pair, "string")(F.col(text_col), F.col("_spans")))
-    return out.withColumn(text_col, text).select(*docs.columns)
+    found = found.groupBy("doc_id").agg(F.first("spans").alias("spans")).withColumnRenamed("doc_id", "key")
+    # The rest of a row goes along as a struct, whatever its columns are called.
+    rest = [c for c in docs.columns if c != text_col]
+    keyed = docs.select(F.md5(text_col).alias("key"), F.col(text_col).alias("text"), F.struct(F.lit(0), *rest).alias("rest"))
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.pandas_udf(_redact_pair, "string")(F.col("text"), F.col("spans")))
+    out = keyed.join(found, "key", "left").withColumn("text", text)
+    return out.select(*(F.col("text" if c == text_col else f"rest.`{c}`").alias(c) for c in docs.columns))
 
 
 def _redact_pair(texts: pd.Series, spans: pd.Series) -> pd.Series:
