@@ -14,7 +14,11 @@ def chunks(labelled: DataFrame, longest: int = 500, fewest: int = 10) -> DataFra
     w = Window.partitionBy(*KEY)
     df = labelled.where("voyage_id is not null").withColumn("_n", F.count("*").over(w)).where(F.col("_n") >= fewest)
     df = df.withColumn("chunk", F.floor((F.row_number().over(w.orderBy("idx")) - 1) / longest))
-    order = df.select(*KEY, "chunk").distinct().withColumn("segment_id", F.row_number().over(Window.orderBy(*KEY, "chunk")).cast("long"))
+    # Segments are numbered within vessels, and on from the vessels before: one ordered task sees vessels only.
+    own = df.select(*KEY, "chunk").distinct().withColumn("_own", F.row_number().over(Window.partitionBy("mmsi").orderBy("voyage_id", "chunk")))
+    before = Window.orderBy("mmsi").rowsBetween(Window.unboundedPreceding, -1)
+    base = own.groupBy("mmsi").agg(F.count("*").alias("_m")).select("mmsi", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_base"))
+    order = own.join(base, "mmsi").select(*KEY, "chunk", (F.col("_base") + F.col("_own")).cast("long").alias("segment_id"))
     return df.drop("_n").join(order, [*KEY, "chunk"])
 
 

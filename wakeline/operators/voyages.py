@@ -1,9 +1,11 @@
 """Voyages: what lies between consecutive kept stops, its labels, measures and quality."""
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.functions.geo import haversine_km, heading_change, lon_from_360, near_port_flag, seconds_between
+from wakeline.functions.geo import EARTH_KM, haversine_km, heading_change, lon_from_360, near_port_flag, seconds_between
 from wakeline.operators.stops import last_known
 
 KEY = ("mmsi", "voyage_id")
@@ -68,6 +70,30 @@ def nearest(points: DataFrame, places: DataFrame, key: list[str], lat: str, lon:
     return pairs.groupBy(*key).agg(best).select(*key, F.col("_best.n").alias(out), F.col("_best.d").alias(f"{out}_km"))
 
 
+def _cubes(lat: str, lon: str, side: float) -> list[Column]:
+    """The cube of side ``side`` that holds a position's unit vector."""
+    a, o = F.radians(lat), F.radians(lon)
+    return [F.floor(x / side).cast("long") for x in (F.cos(a) * F.cos(o), F.cos(a) * F.sin(o), F.sin(a))]
+
+
+def nearest_within(points: DataFrame, places: DataFrame, key: list[str], lat: str, lon: str, name: str, order: str, km: float, out: str = "nearest") -> DataFrame:
+    """``nearest`` among the places at most ``km`` away; keys without any are left out.
+
+    A place enters the 27 cubes around it, whose side is the chord of ``km``, and an equi-join finds the
+    places in a point's cube: work follows the places nearby, wherever on the globe, not all of them.
+    """
+    side = 2 * math.sin(min(km / EARTH_KM, math.pi) / 2) * (1 + 1e-9) + 1e-12
+    cube = ["_cx", "_cy", "_cz"]
+    p = places.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col(name).alias("_name"), F.col(order).alias("_order"))
+    for c, at in zip(cube, _cubes("_lat", "_lon", side), strict=True):
+        p = p.withColumn(c, F.explode(F.sequence(at - 1, at + 1)))
+    own = points.select(*key, F.col(lat).alias("_plat"), F.col(lon).alias("_plon"))
+    pairs = own.withColumns(dict(zip(cube, _cubes("_plat", "_plon", side), strict=True))).join(p, cube)
+    pairs = pairs.withColumn("_d", haversine_km("_plat", "_plon", "_lat", "_lon")).where(F.col("_d") <= km)
+    best = F.min(F.struct(F.col("_d").alias("d"), F.col("_order").alias("o"), F.col("_name").alias("n"))).alias("_best")
+    return pairs.groupBy(*key).agg(best).select(*key, F.col("_best.n").alias(out), F.col("_best.d").alias(f"{out}_km"))
+
+
 def quality(summary: DataFrame, centers: DataFrame, min_duration_s: float = 1800.0, min_distance_km: float = 2.0, spin_deg: float = 360.0, spin_distance_km: float = 2.0,
             cluster_eps_km: float = 1.0, nearby_km: float = 1.0, gap_hours: float = 2.0, turns_per_km: float = 150.0) -> DataFrame:
     """Adds ``valid_flag`` and ``invalid_reason``; the first rule that applies gives the reason.
@@ -92,11 +118,11 @@ def quality(summary: DataFrame, centers: DataFrame, min_duration_s: float = 1800
 
 
 def assign_ports(voyages: DataFrame, ports: DataFrame, max_dist_km: float = 10.0) -> DataFrame:
-    """Adds origin_port and destination_port, ``unknown`` beyond ``max_dist_km``, and rule R7."""
+    """Adds origin_port and destination_port, ``unknown`` beyond ``max_dist_km``, their distances, null beyond, and rule R7."""
     key, df = list(KEY), voyages
     for end, lat, lon in (("origin", "dep_lat", "dep_lon"), ("destination", "arr_lat", "arr_lon")):
-        got = nearest(voyages.select(*key, lat, lon), ports, key, lat, lon, "port_name", "port_ord", [], f"_{end}")
-        near = F.when(F.col(f"_{end}_km") <= max_dist_km, F.col(f"_{end}")).otherwise("unknown")
+        got = nearest_within(voyages.select(*key, lat, lon), ports, key, lat, lon, "port_name", "port_ord", max_dist_km, f"_{end}")
+        near = F.when(F.col(f"_{end}_km").isNotNull(), F.col(f"_{end}")).otherwise("unknown")
         df = df.join(got, key, "left").withColumn(f"{end}_port", near).withColumnRenamed(f"_{end}_km", f"{end}_km").drop(f"_{end}")
     lost = ((F.col("origin_port") == "unknown") | (F.col("destination_port") == "unknown")) & F.col("invalid_reason").isNull()
     df = df.withColumn("valid_flag", F.col("valid_flag") & ~lost)

@@ -42,7 +42,8 @@ def _raw(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql.AIS + "SELECT mmsi, row_ord, ts, round(lat, 6) AS lat, round(lon, 6) AS lon, round(lon_360, 6) AS lon_360, sog, heading FROM ais")
 def ais_clean(spark, d):
-    return _rounded(ais.clean(_raw(spark, d)), "mmsi", "row_ord", "ts", "lat", "lon", "lon_360", "sog", "heading")
+    df = ais.clean(_raw(spark, d))
+    return df.select("mmsi", "row_ord", "ts", *(F.round(c, 6).alias(c) for c in ("lat", "lon", "lon_360")), "sog", "heading")
 
 
 @query(sql.AIS + "SELECT CAST(avg(CASE WHEN mmsi = 416000000 THEN 1.0::DOUBLE ELSE 0 END) AS DOUBLE) AS valid_ratio FROM (SELECT CASE WHEN lat BETWEEN -90 AND 90 THEN mmsi END AS mmsi FROM ais)")
@@ -52,7 +53,10 @@ def valid_ratio(spark, d):
 
 @query(sql.AIS + "SELECT row_ord, CASE WHEN ts > TIMESTAMP '2024-01-15 10:58:10' THEN round(sog / 10, 6) ELSE sog END AS sog FROM ais")
 def sog_unit_repair(spark, d):
-    return _rounded(ais.repair_sog(ais.from_events(spark, d), "2024-01-15 10:58:10"), "row_ord", "sog")
+    cut = "2024-01-15 10:58:10"
+    late = F.col("ts") > F.lit(cut).cast("timestamp_ntz")
+    df = ais.repair_sog(ais.from_events(spark, d), cut)
+    return df.select("row_ord", F.when(late, F.round("sog", 6)).otherwise(F.col("sog")).alias("sog"))
 
 
 @query(sql.AIS + f"SELECT row_ord, round({sql.hav('lat', 'lon', '25.15::DOUBLE', '121.75::DOUBLE')}, 6) AS km, round({sql.hav('lat', 'lon', '25.15::DOUBLE', '121.75::DOUBLE', '6371.0::DOUBLE')}, 6) AS km_atan2, round({sql.hav('lat', 'lon', '25.15::DOUBLE', '121.75::DOUBLE', '1::DOUBLE')}, 9) AS rad FROM ais")
@@ -129,9 +133,10 @@ def voyage_gaps(spark, d):
     return voyages.large_gap(pipelines.track(ais.from_events(spark, d)).points)
 
 
-@query(sql.summary("a") + "SELECT mmsi, CAST(voyage_id AS BIGINT) AS voyage_id, dep_time AS start_time, arr_time AS end_time, round(mean_gap, 6) AS mean_interval_sec, true AS monotonic, round(duration_hr * 3600, 6) AS duration_sec FROM summary")
+@query(sql.summary("a") + "SELECT mmsi, CAST(voyage_id AS BIGINT) AS voyage_id, dep_time AS start_time, arr_time AS end_time, round(mean_gap, 3) AS mean_interval_sec, true AS monotonic, round(duration_hr * 3600, 6) AS duration_sec FROM summary")
 def voyage_time_stats(spark, d):
-    df = voyages.time_stats(pipelines.track(ais.from_events(spark, d)).points)
+    # Means of microseconds often end in half a microsecond, which engines round differently; milliseconds rarely tie.
+    df = voyages.time_stats(pipelines.track(ais.from_events(spark, d)).points).withColumn("mean_interval_sec", F.round("mean_interval_sec", 3))
     return _rounded(df, "mmsi", "voyage_id", "start_time", "end_time", "mean_interval_sec", "monotonic", "duration_sec")
 
 
@@ -241,3 +246,18 @@ def rf_importance(spark, d):
 def eta_point(spark, d):
     model = pipelines.run_eta(ais.from_events(spark, d), trees=20).model
     return models.eta_point(spark, model, 25.154453, 121.377811, 11.8, 25.1384, 121.7476, "2025-07-25 00:00:00")
+
+
+@query()
+def lstm_sequence_metrics(spark, d):
+    return pipelines.run_sequence_eta(ais.from_events(spark, d), epochs=5).metrics
+
+
+@query()
+def lstm_window_metrics(spark, d):
+    return pipelines.run_window_eta(ais.from_events(spark, d), 20, 10, epochs=10).metrics
+
+
+@query()
+def lstm_window_history(spark, d):
+    return pipelines.run_window_eta(ais.from_events(spark, d), 20, 10, epochs=10).history

@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.operators import clusters, models, sequences, stops, voyages
+from wakeline.operators import clusters, models, recurrent, sequences, stops, voyages
 from wakeline.operators.graph import Scratch
 
 COLUMNS = [
@@ -69,6 +69,37 @@ def training_sequences(points: DataFrame, longest: int = 500, fewest: int = 10)
     return sequences.padded(sequences.standardised(sequences.chunks(rows, longest, fewest)))
 
 
+@dataclass
+class RecurrentEta:
+    model: recurrent.Recurrent | None
+    predicted: DataFrame
+    metrics: DataFrame
+    history: DataFrame
+
+
+def _recurrent(spark, rows: DataFrame, model: recurrent.Recurrent | None, each: str) -> RecurrentEta:
+    kind = "array<double>" if each == "step" else "double"
+    predicted = recurrent.predict(rows, model) if model else rows.withColumn("prediction", F.lit(None).cast(kind))
+    flat = recurrent.steps_of(predicted) if each == "step" else predicted
+    return RecurrentEta(model, predicted, models.metrics(flat, "y"), recurrent.history(spark, model))
+
+
+def run_sequence_eta(points: DataFrame, **how) -> RecurrentEta:
+    """One arrival time per step of whole voyages, standardised, cut and padded."""
+    spark = points.sparkSession
+    rows = Scratch(spark, "sequences").cut(training_sequences(points), "padded")
+    return _recurrent(spark, rows, recurrent.fit_sequences(rows, **how), "step")
+
+
+def run_window_eta(points: DataFrame, size: int = 50, stride: int = 25, **how) -> RecurrentEta:
+    """The arrival time at the end of each sliding window of standardised voyages in motion."""
+    spark = points.sparkSession
+    cut = sequences.standardised(sequences.chunks(eta_rows(points).dropna(subset=["real_eta_sec", "dist_to_dest_km"])))
+    columns = tuple(f"{c}_std" for c in sequences.WINDOW_FEATURES)
+    rows = Scratch(spark, "windows").cut(sequences.windows(cut, size, stride, columns), "windows")
+    return _recurrent(spark, rows, recurrent.fit_windows(rows, **how), "window")
+
+
 def counts(t: Track) -> DataFrame:
     """Points, stops and voyages of each vessel."""
     p = t.points.groupBy("mmsi").agg(F.count("*").alias("points"), F.count_distinct("voyage_id").alias("voyages"))
