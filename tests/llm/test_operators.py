@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -79,6 +80,24 @@ def test_pii_base():
     pii.base_spans("1" * 200_000 + "a" * 200_000)
 
 
+def test_pii_context():
+    """Terms beside mentions, against a scan of the whole text; as many mentions as you like change nothing."""
+    rng = random.Random(3)
+    bits = ["a@b.co", "x.y@ä.de", "+49 170 1234567", "1.2.3.4", "4111 1111 1111 1111", "wort", "é", "ab", "12", "_", ". ", "foo", "+1.2.3.4 5555"]
+    for i in range(400):
+        t = "".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randrange(40 if i else 4000)))
+        spans, free = pii.base_spans(t), list(t)
+        for a, _, b, _ in spans:
+            free[a:b] = "\0" * (b - a)
+        terms = [m.span() for m in re.finditer(r"[^\W\d_]+", "".join(free))]
+        want = set()
+        for a, kind, b, value in spans:
+            near = [x for x in terms if x[1] <= a][-pii.REACH :] + [x for x in terms if x[0] >= b][: pii.REACH]
+            want |= {(kind, value, *x) for x in near}
+        assert len(pii._around(t, spans)) == len(want)
+        assert {(d["start"], d["end"]) for d in pii._around(t, spans)} == {w[2:] for w in want}
+
+
 def test_pii_terms(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))

@@ -16,6 +16,8 @@ empty table gives no rows; other columns are ignored unless asked for.
 """
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import islice
 
 import pandas as pd
 import xxhash
@@ -77,31 +79,38 @@ def base_spans(text: str) -> list[tuple[int, str, int, str]]:
     return out
 
 
+def _gaps(text: str, spans: list[tuple[int, str, int, str]]) -> list[tuple[int, int]]:
+    """The stretches outside all spans, in order; between overlapping spans there is none."""
+    out, done = [], 0
+    for start, _, end, _ in spans:
+        if start > done:
+            out.append((done, start))
+        done = max(done, end)
+    if done < len(text):
+        out.append((done, len(text)))
+    return out
+
+
 def _around(text: str, spans: list[tuple[int, str, int, str]]) -> list[dict]:
-    """Terms within REACH terms of each mention, not inside any span.
+    """Terms within REACH terms of each mention on either side, outside all spans.
 
-    Terms are sought in growing stretches beside the mention, so the work follows the mentions.
+    A stretch between spans matters by its first and last REACH terms only, so these are listed once for each,
+    and the work is linear in the text however many mentions it holds.
     """
-    inside = [(s, e) for s, _, e, _ in spans]
+    first, last = [], []
+    for lo, hi in _gaps(text, spans):
+        first += [m.span() for m in islice(_TERM.finditer(text, lo, hi), REACH)]
+        tail = [m.span() for m in islice(_TERM.finditer(text[lo:hi][::-1]), REACH)]
+        last += [(hi - b, hi - a) for a, b in reversed(tail)]
+    starts, ends = [a for a, _ in first], [b for _, b in last]
     out, seen = [], set()
     for start, kind, end, value in spans:
         entity = xxhash.xxh64_intdigest(f"{kind}:{value}", 7) - (1 << 63)
-        for forward in (True, False):
-            stretch = 160
-            while True:
-                lo, hi = (end, min(len(text), end + stretch)) if forward else (max(0, start - stretch), start)
-                found = [m.span() for m in _TERM.finditer(text, lo, hi)]
-                whole = hi == len(text) if forward else lo == 0
-                if not whole and found:
-                    found = found[:-1] if forward else found[1:]  # the outermost may be cut
-                if whole or len(found) >= REACH + 8:
-                    break
-                stretch *= 2
-            free = [s for s in found if not any(a < s[1] and s[0] < b for a, b in inside)] if len(inside) < 50 else found
-            for a, b in free[:REACH] if forward else free[-REACH:]:
-                if (entity, a) not in seen:
-                    seen.add((entity, a))
-                    out.append({"entity": entity, "term": text[a:b].lower(), "start": a, "end": b})
+        after, before = bisect_left(starts, end), bisect_right(ends, start)
+        for a, b in (*last[max(0, before - REACH) : before], *first[after : after + REACH]):
+            if (entity, a) not in seen:
+                seen.add((entity, a))
+                out.append({"entity": entity, "term": text[a:b].lower(), "start": a, "end": b})
     return out
 
 
