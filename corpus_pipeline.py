@@ -15,6 +15,9 @@ from wakeline.llm.common import Scratch, table
 ITEMS = 2
 #: So does one of whose words this share or more is benchmark text, a leaked item and little else.
 HIT_SHARE = 0.5
+#: So does one that holds this share or more of the words of one item, however long the document is.  An item
+#: of fewer words than a window is a phrase that texts share by chance, and does not count here.
+ITEM_SHARE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
     got = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    clean = (F.col("n_items") < ITEMS) & (F.col("n_hit") < F.greatest(F.col("n_words") * HIT_SHARE, F.lit(1)))
+    whole = F.exists("items", lambda i: (i["share"] >= ITEM_SHARE) & (i["words"] >= decontam.WIDTH))
+    clean = (F.col("n_items") < ITEMS) & (F.col("n_hit") < F.greatest(F.col("n_words") * HIT_SHARE, F.lit(1))) & ~whole
     return got.where(clean).select("kept.*")
 
 

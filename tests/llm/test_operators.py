@@ -73,6 +73,21 @@ def test_decontaminate(spark):
     assert all(got[i].n_items == 0 for i in (1, 2, 3))
 
 
+def test_one_item_in_a_long_document(spark):
+    """A document with one benchmark item whole goes, however long it is; eight of twenty words are not largely an item."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    found = (r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect())
+    item = next(t for t in found if len(decontam.normalise(t)) >= 20)
+    part = b" ".join(decontam.normalise(item)[:8]).decode()
+    df = docs(spark, ["pad " * 400 + item + " pad" * 400, "pad " * 400 + part + " pad" * 400, "pad " * 800])
+    assert [r.doc_id for r in corpus_pipeline.decontaminate(spark, df, sf).collect()] == [1, 2]
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j"), (1, "a b c d e f g h i j k l m n o p")], "item_id long, text string")
+    got = decontam.contamination(docs(spark, ["x a b c d e f g h i y"]), bench).first()["items"]
+    assert [(i.item, i.share, i.words) for i in got] == [(1, 0.9, 10)]
+
+
 def test_pii_base():
     t = "x a.b@c-d.co.uk. y 1.2.3.4.5 256.1.1.1 is 4111 1111 1111 1111 z +1 (234) 567-8901 a@b @c.d e@f.g@h.i"
     assert [(k, t[s:e]) for s, k, e, _ in pii.base_spans(t)] == [

@@ -41,32 +41,43 @@ def windows(text: str | None, width: int = WIDTH) -> list[bytes]:
 
 
 def automaton(items: list[tuple[int, str | None]], width: int = WIDTH):
-    """Finds windows in a normalised text with a space at either end; values are (words, item ids)."""
-    owners: dict[bytes, set[int]] = defaultdict(set)
-    for item, text in items:
-        for w in windows(text, width):
-            owners[w].add(item)
+    """Finds windows in a normalised text with a space at either end; values are (words, places).
+
+    A place is (item id, item's row, its words, first word of the window), so that a row's share can be told.
+    """
+    owners: dict[bytes, list[tuple[int, int, int, int]]] = defaultdict(list)
+    for row, (item, text) in enumerate(items):
+        n = len(normalise(text))
+        for at, w in enumerate(windows(text, width)):
+            owners[w].append((item, row, n, at))
     found = ahocorasick.Automaton()
-    for w, ids in owners.items():
-        found.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(sorted(ids))))
+    for w, places in owners.items():
+        found.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(places)))
     found.make_automaton()
     return found
 
 
-def scan(words: list[bytes], found) -> tuple[np.ndarray | None, set[int]]:
-    """Mask of the words hit (None: none), and ids of the items with occurring windows."""
+def scan(words: list[bytes], found) -> tuple[np.ndarray | None, dict[int, tuple[float, int]]]:
+    """Mask of the words hit (None: none), and for each item with occurring windows the share of its words they cover, and its words."""
     if not words or not len(found):
-        return None, set()
+        return None, {}
     line = f" {b' '.join(words).decode('latin-1')} "
-    mask, ids, after = None, set(), None
+    mask, seen, after = None, {}, None
     for end, (n, own) in found.iter(line):
         if mask is None:
             mask = np.zeros(len(words), dtype=bool)
             after = np.cumsum([len(w) + 1 for w in words])
         last = int(np.searchsorted(after, end))
         mask[last - n + 1 : last + 1] = True
-        ids.update(own)
-    return mask, ids
+        seen[own] = n
+    held: dict[tuple[int, int, int], set[int]] = defaultdict(set)
+    for own, n in seen.items():
+        for item, row, size, at in own:
+            held[item, row, size].update(range(at, at + n))
+    shares: dict[int, tuple[float, int]] = {}
+    for (item, _, size), places in held.items():
+        shares[item] = max(shares.get(item, (0.0, 0)), (len(places) / size, size))
+    return mask, shares
 
 
 def spans(text: str, mask: np.ndarray) -> list[tuple[int, int]]:
@@ -91,30 +102,30 @@ def _parts(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tu
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = WIDTH, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (two items or more), hit_spans and, if there are columns to ``keep``, a struct ``kept`` of them."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (two items or more), hit_spans, items (each with the share of its words that is covered, and its words) and, if there are columns to ``keep``, a struct ``kept`` of them."""
     sc = docs.sparkSession.sparkContext
     models = [sc.broadcast(automaton(part, width)) for part in _parts(benchmark, item_col, text_col)]
 
     def run(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
-            words, mask, ids = normalise(t), None, set()
+            words, mask, ids = normalise(t), None, {}
             for m in models:
                 own, more = scan(words, m.value)
                 mask = own if mask is None else mask if own is None else mask | own
-                ids |= more
+                ids |= {i: max(x, ids.get(i, (0.0, 0))) for i, x in more.items()}
             sha = hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
-            out.append((len(words), 0 if mask is None else int(mask.sum()), len(ids), sha, [] if mask is None else [{"start": a, "end": b} for a, b in spans(t, mask)]))
-        return pd.DataFrame(out, columns=["n_words", "n_hit", "n_items", "items_sha256", "hit_spans"])
+            out.append((len(words), 0 if mask is None else int(mask.sum()), len(ids), sha, [] if mask is None else [{"start": a, "end": b} for a, b in spans(t, mask)], [{"item": i, "share": x, "words": n} for i, (x, n) in sorted(ids.items())]))
+        return pd.DataFrame(out, columns=["n_words", "n_hit", "n_items", "items_sha256", "hit_spans", "items"])
 
-    kind = "n_words long, n_hit long, n_items long, items_sha256 string, hit_spans array<struct<start: int, end: int>>"
+    kind = "n_words long, n_hit long, n_items long, items_sha256 string, hit_spans array<struct<start: int, end: int>>, items array<struct<item: long, share: double, words: long>>"
     kept = [F.struct(*keep).alias("kept")] if keep else []
     got = docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(run, kind)(F.col(text_col)).alias("_p"), *kept)
     return got.select("doc_id", "_p.*", (F.col("_p.n_items") >= 2).alias("contaminated"), *(["kept"] if keep else []))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_spans")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_spans", "items")
 
 
 ORACLE = r"""
