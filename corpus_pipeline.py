@@ -1,14 +1,14 @@
 """The corpus pipeline: language, near-duplicates, benchmark passages, personal data, mixing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return
-the columns of documents.  Null texts have no letter and go in the first stage.  Documents without an id
-are kept; of the rows that share the id of a kept document, all but one go with the near-duplicates.
+the columns of documents.  Null texts have no letter and go in the first stage.  Near-duplicates are told by
+row, so that different texts under one id are different documents, and all rows but one of a copied row go.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm import decontam, langid, mixing, pii, simhash
+from wakeline.llm import decontam, jaccard, langid, mixing, pii, simhash
 from wakeline.llm.common import Scratch, table
 
 #: A document in which this many benchmark items occur goes.
@@ -27,11 +27,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays, once."""
-    got = simhash.near_duplicates(docs)
-    stay = got.where("doc_id is null or doc_id = component_id").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).union(docs.where("doc_id is null").select(*docs.columns))
+    """Of texts alike by ``simhash``'s fingerprints, then by ``jaccard``'s similarity, the row with the smallest id stays.
+
+    Rows without an id answer to each other only: one of those alike stays, whatever stays of the others.
+    """
+    scratch = Scratch(spark, "copies")
+    rows = scratch.cut(docs.select(F.monotonically_increasing_id().alias("at"), F.struct(*docs.columns).alias("doc")), "rows")
+    alone = F.col("doc.doc_id").isNull()
+    row = F.struct(F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(0)).alias("id"), F.col("at")).alias("row")
+    texts = rows.select("at", row, alone.alias("alone"), F.col("doc.text").alias("text"))
+    got = simhash.near_duplicates(texts, "at").select(F.col("doc_id").alias("at"), "component_id")
+    named = got.join(texts.select("at", "row", "alone"), "at")
+    stay = scratch.cut(named.groupBy("component_id", "alone").agg(F.min("row").alias("row")).select("row.at"), "stay")
+    gone = jaccard.copies(texts, stay).select("row.at")
+    return rows.join(stay.join(gone, "at", "left_anti"), "at", "left_semi").select("doc.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

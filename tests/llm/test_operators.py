@@ -49,6 +49,33 @@ def test_simhash_brute(spark):
     assert [got[i].component_id for i in range(len(fp))] == root
 
 
+def test_similar_rows(spark):
+    """No two rows left are similar, against brute force; crowds, common passages and repeated or missing ids included."""
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    common = [word() for _ in range(60)]
+    texts = [" ".join([word() for _ in range(30)] + common + [word() for _ in range(40)]) for _ in range(60)]
+    for base in range(8):
+        for _ in range(40 if base == 0 else 4):
+            words = texts[base].split()
+            for _ in range(rng.randint(1, 3)):
+                words[rng.randrange(len(words))] = word()
+            texts.append(" ".join(words))
+    rows = [(i // 2, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[0]), (None, texts[0]), (None, texts[20])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    like = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    left = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert sorted(r.text for r in left if r.doc_id is None) == sorted([texts[0], texts[20]])
+    kept = [sets(r.text) for r in left if r.doc_id is not None]
+    assert not any(like(a, b) for n, a in enumerate(kept) for b in kept[:n])
+    assert {texts[i] for i in range(8, 60)} <= {r.text for r in left} and texts[0] in {r.text for r in left}
+    lost = [t for i, t in rows if i is not None and t not in {r.text for r in left}]
+    assert all(any(like(sets(t), sets(o)) for _, o in rows if o != t) for t in lost)
+
+
 def test_spark_and_library_hash_agree(spark):
     assert spark.sql("select xxhash64('a b c')").first()[0] % (1 << 64) == xxhash.xxh64_intdigest(b"a b c", 42)
 

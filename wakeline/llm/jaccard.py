@@ -1,0 +1,107 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles, found by prefix filtering.
+
+Words are those of ``simhash``, shingles ``width`` consecutive words (fewer words: the whole sequence), a text
+is the set of its shingles' XXH64.  In any one order of all shingles, two sets of similarity ``least`` or more
+share one of the first n - ceil(least n) + 1 of their n shingles, so what shares none of these needs no look;
+what does is compared exactly.  The order puts shingles that a sample shows to be common last, by which
+licence lines and templates seldom come among the first; a bad sample costs time, not pairs.
+
+``copies`` gives the rows to leave out so that no two rows left are similar, and each row left out is linked
+to one that stays by a chain of similar rows.  A shingle with more than ``CROWD`` rows is taken by comparing
+all of them with its first: the similar ones go, and the rest is taken again, until nothing goes; what is
+left then is compared in full.
+"""
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wakeline.llm.common import Scratch, components
+from wakeline.llm.simhash import _hashes
+
+WIDTH = 5
+LEAST = 0.8
+CROWD = 16
+#: One row in so many is looked at for common shingles; those in COMMON of them or more, MAX_COMMON at most, are broadcast.
+SAMPLE = 16
+COMMON = 8
+MAX_COMMON = 1 << 14
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The distinct shingles' hashes, sorted."""
+    parts = list(_hashes((text or "").encode("utf-8", "surrogatepass"), width))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(len(a) + len(b) - both, 1)
+
+
+def _common(docs: DataFrame, width: int) -> np.ndarray:
+    hashes = F.pandas_udf(lambda ts: pd.Series([shingles(t, width).view(np.int64) for t in ts]), "array<long>")
+    part = docs.where(F.pmod(F.xxhash64("row"), F.lit(SAMPLE)) == 0).select(F.explode(hashes("text")).alias("key"))
+    rows = part.groupBy("key").count().where(F.col("count") >= COMMON).orderBy(F.col("count").desc(), "key").limit(MAX_COMMON).collect()
+    return np.sort(np.array([r.key for r in rows], dtype=np.int64).view(np.uint64))
+
+
+def _prefixes(docs: DataFrame, width: int, least: float) -> DataFrame:
+    """(row, at, alone, n, key)"""
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs, width))
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            h = shingles(t, width)
+            n = len(h)
+            h = h[np.argsort(np.isin(h, common.value), kind="stable")]
+            out.append((n, h[: n - math.ceil(least * n - 1e-9) + 1].view(np.int64)))
+        return pd.DataFrame(out, columns=["n", "keys"])
+
+    got = docs.select("row", "at", "alone", F.pandas_udf(run, "n long, keys array<long>")("text").alias("p"))
+    return got.select("row", "at", "alone", "p.n", F.explode("p.keys").alias("key"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, width: int, least: float) -> DataFrame:
+    """The pairs (u, v) of rows that are similar."""
+    pairs = scratch.cut(pairs.distinct(), "pairs")
+    rows = pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct()
+    data = F.pandas_udf(lambda ts: pd.Series([shingles(t, width).tobytes() for t in ts]), "binary")
+    sets = scratch.cut(docs.join(rows, "row", "left_semi").select("row", data("text").alias("s")), "sets")
+
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least - 1e-9 for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    left, right = sets.select(F.col("row").alias("v"), F.col("s").alias("sv")), sets.select(F.col("row").alias("u"), F.col("s").alias("su"))
+    return scratch.cut(pairs.join(left, "v").join(right, "u").where(F.pandas_udf(near, "boolean")("su", "sv")).select("u", "v"), "similar")
+
+
+def copies(docs: DataFrame, among: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """The column ``row`` of the rows to leave out, of those whose ``at`` is ``among``.
+
+    ``docs`` has a unique ``row`` (the smallest stays), ``at``, ``text``, and ``alone``, which tells two parts
+    of the rows; rows of different parts are not compared.
+    """
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    alive = _prefixes(docs, width, least).join(among, "at", "left_semi")
+    alive = scratch.cut(alive.select("row", "n", F.when(F.col("alone"), F.expr("~key")).otherwise(F.col("key")).alias("key")), "prefixes")
+    gone, full = None, False
+    while True:
+        shared = scratch.cut(alive.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("row", "n")).alias("first")).where("c > 1"), "shared")
+        crowded = shared.where("false" if full else f"c > {CROWD}")
+        few = alive.join(shared.where("true" if full else f"c <= {CROWD}").select("key"), "key", "left_semi")
+        fits = f"u.n * {least} <= v.n + 1e-6 and v.n * {least} <= u.n + 1e-6"
+        pairs = few.alias("u").join(few.alias("v"), "key").where(f"u.row < v.row and {fits}").select(F.col("u.row").alias("u"), F.col("v.row").alias("v"))
+        stars = alive.alias("v").join(crowded.select("key", F.col("first.row").alias("r"), F.col("first.n").alias("n")).alias("u"), "key")
+        pairs = pairs.union(stars.where(f"v.row <> r and {fits}").select(F.col("r").alias("u"), F.col("v.row").alias("v")))
+        roots = components(scratch, _verified(docs, pairs, scratch, width, least))
+        found = scratch.cut(roots.where("node <> root").select(F.col("node").alias("row")).distinct(), "found")
+        gone = found if gone is None else gone.union(found)
+        if full or crowded.isEmpty():
+            return gone
+        full = found.isEmpty()
+        alive = scratch.cut(alive.join(crowded.select("key"), "key", "left_semi").join(found, "row", "left_anti"), "alive")
