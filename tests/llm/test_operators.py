@@ -153,6 +153,17 @@ def test_pii_terms(spark):
     assert "[TERM] [TERM] [EMAIL] common" in out[0] and out[8] == texts[8] and out[68] is None
 
 
+def test_pii_terms_of_rare_entities(spark):
+    """A term that only the one text of an entity holds is sanitised; one that others hold as well is not."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)]
+    texts = [" ".join(rng.choices(words, k=20)) for _ in range(100)]
+    texts += [f"{words[0]} zorro {words[1]} solo@corp.com {words[2]}"] * 2
+    got = {r.doc_id: r for r in pii.report(pii.find(docs(spark, texts))).collect()}
+    marked = [texts[100][int(s.split(":")[1]) : int(s.split(":")[2])] for s in got[100].spans.split(",")]
+    assert marked == ["zorro", "solo@corp.com"] and got[101].spans == got[100].spans and got[0].spans == ""
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     rows = [(i, "w " * rng.randint(0, 50), rng.choice(["a", "b", "c", None])) for i in range(800)] + [(900, None, "z")]

@@ -8,8 +8,10 @@ Sanitisation: a term is a lower-cased run of letters; it co-occurs with an entit
 ``REACH`` terms of one of its mentions.  Over the whole corpus, in distinct texts, let c be the texts in
 which a term co-occurs with an entity, d and e the texts that hold the term and the entity, and N all of
 them.  The term discloses log2(c N / (d e)) of the log2(N / e) bits that identify the entity.  With c of at
-least ``MIN_SUPPORT`` and that share at least ``DISCLOSES``, the term is sanitised wherever it co-occurs
-with the entity: a span of kind ``term``.  Copies of one text count once, so a copied text is no evidence.
+least ``MIN_SUPPORT``, or of all e texts of an entity that has fewer, and that share at least ``DISCLOSES``,
+the term is sanitised wherever it co-occurs with the entity: a span of kind ``term``.  Where c is less than
+``MIN_SUPPORT``, d is taken ``SMOOTH`` higher: of a few texts, the rarity of a term is less sure.  Copies of one text
+count once, so a copied text is no evidence.
 
 Null and empty texts have no spans; repeated rows are treated alike, each for itself; a null id is kept; an
 empty table gives no rows; other columns are ignored unless asked for.
@@ -30,6 +32,9 @@ KINDS = ("email", "ip", "card", "phone")
 REACH = 6
 MIN_SUPPORT = 5
 DISCLOSES = 0.9
+SMOOTH = 0.5
+#: Candidate terms that are broadcast to count them over the corpus; more are joined by a shuffle.
+MAX_BROADCAST = 200_000
 #: What a span is generalised to.
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
@@ -143,17 +148,19 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_su
     near = seen.where("size(near) > 0").select("row", "text_hash", F.explode("near").alias("n")).select("row", "text_hash", "n.*")
     total = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("h")).distinct().count()
     pairs = near.select("entity", "term", "text_hash").distinct()
-    support = pairs.groupBy("entity", "term").agg(F.count("*").alias("c")).where(F.col("c") >= min_support)
+    support = pairs.groupBy("entity", "term").agg(F.count("*").alias("c"))
     holds = near.select("entity", "text_hash").distinct().groupBy("entity").agg(F.count("*").alias("e"))
     # The texts in which a term stands near any entity are among those that hold it: a term that is too common
     # there discloses nothing, and needs no count over the whole corpus.
     beside = near.select("term", "text_hash").distinct().groupBy("term").agg(F.count("*").alias("d"))
-    share = f"log2(c * n / (d * e)) >= {discloses} * log2(n / e) and n > e"
+    smooth = f"(d + if(c < {min_support}, {SMOOTH}, 0))"
+    share = f"c >= least({min_support}, e) and log2(c * n / ({smooth} * e)) >= {discloses} * log2(n / e) and n > e"
     support = support.join(beside, "term").join(holds, "entity").withColumn("n", F.lit(float(max(total, 1)))).where(share)
     support = scratch.cut(support.drop("d"), "support")
     flagged = None
     if not support.isEmpty():
-        wanted = support.select("term").distinct()
+        wanted = scratch.cut(support.select("term").distinct(), "wanted")
+        wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
         texts = docs.select(F.xxhash64(text_col).alias("h"), F.explode(_terms(F.col(text_col))).alias("term"))
         held = texts.join(wanted, "term").distinct().groupBy("term").agg(F.count("*").alias("d"))
         flagged = scratch.cut(support.join(held, "term").where(share).select("entity", "term"), "flagged")
