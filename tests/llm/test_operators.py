@@ -164,6 +164,16 @@ def test_pii_terms_of_rare_entities(spark):
     assert marked == ["zorro", "solo@corp.com"] and got[101].spans == got[100].spans and got[0].spans == ""
 
 
+def test_pii_terms_far_from_the_mention(spark):
+    """A disclosing term is sanitised in the whole text of the entity, not only beside the mention."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)]
+    texts = [" ".join(rng.choices(words, k=20)) for _ in range(100)]
+    texts += [f"dear Zorro {' '.join(words)} 1.2.3.4 {words[0]} zorro solo@corp.com {words[2]} {' '.join(words)} zorro"]
+    out = {r.doc_id: r.text for r in pii.sanitise(docs(spark, texts)).collect()}
+    assert out[100] == f"dear [TERM] {' '.join(words)} [IP] {words[0]} [TERM] [EMAIL] {words[2]} {' '.join(words)} [TERM]" and out[0] == texts[0]
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     rows = [(i, "w " * rng.randint(0, 50), rng.choice(["a", "b", "c", None])) for i in range(800)] + [(900, None, "z")]

@@ -9,7 +9,8 @@ Sanitisation: a term is a lower-cased run of letters; it co-occurs with an entit
 which a term co-occurs with an entity, d and e the texts that hold the term and the entity, and N all of
 them.  The term discloses log2(c N / (d e)) of the log2(N / e) bits that identify the entity.  With c of at
 least ``MIN_SUPPORT``, or of all e texts of an entity that has fewer, and that share at least ``DISCLOSES``,
-the term is sanitised wherever it co-occurs with the entity: a span of kind ``term``.  Where c is less than
+the term is sanitised wherever it stands in a text that holds the entity, near a mention or not: a span of
+kind ``term``.  Where c is less than
 ``MIN_SUPPORT``, d is taken ``SMOOTH`` higher: of a few texts, the rarity of a term is less sure.  Copies of one text
 count once, so a copied text is no evidence.
 
@@ -136,6 +137,17 @@ _SPAN = "array<struct<start: int, kind: string, end: int>>"
 _ANALYSED = f"base {_SPAN}, near array<struct<entity: long, term: string, start: int, end: int>>, text_hash long"
 
 
+def _everywhere(texts: pd.Series, bases: pd.Series, terms: pd.Series) -> pd.Series:
+    """Spans of all occurrences of the terms outside the base spans."""
+    out = []
+    for text, base, wanted in zip(texts, bases, terms, strict=True):
+        known = set(wanted)
+        gaps = _gaps(text, [(s["start"], "", s["end"], "") for s in base])
+        found = (m for lo, hi in gaps for m in _TERM.finditer(text, lo, hi))
+        out.append([{"start": m.start(), "kind": "term", "end": m.end()} for m in found if m[0].lower() in known])
+    return pd.Series(out, dtype=object)
+
+
 def _terms(text: Column) -> Column:
     return F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
 
@@ -143,8 +155,9 @@ def _terms(text: Column) -> Column:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT, discloses: float = DISCLOSES) -> DataFrame:
     """doc_id, row (unique), base spans and all spans, both by start, then kind as listed and ``term`` last."""
     scratch = Scratch(docs.sparkSession, "pii")
-    seen = docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(_analyse, _ANALYSED)(F.col(text_col)).alias("p"))
-    seen = scratch.cut(seen.select("doc_id", "p.*", F.monotonically_increasing_id().alias("row")), "analysed")
+    seen = docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(_analyse, _ANALYSED)(F.col(text_col)).alias("p"), F.col(text_col).alias("text"))
+    body = F.when(F.size("p.near") > 0, F.col("text")).alias("body")
+    seen = scratch.cut(seen.select("doc_id", "p.*", body, F.monotonically_increasing_id().alias("row")), "analysed")
     near = seen.where("size(near) > 0").select("row", "text_hash", F.explode("near").alias("n")).select("row", "text_hash", "n.*")
     total = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("h")).distinct().count()
     pairs = near.select("entity", "term", "text_hash").distinct()
@@ -166,11 +179,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_su
         flagged = scratch.cut(support.join(held, "term").where(share).select("entity", "term"), "flagged")
     if flagged is None:
         return seen.select("doc_id", "row", "base", F.col("base").alias("spans"))
-    more = (
-        near.join(flagged, ["entity", "term"])
-        .groupBy("row")
-        .agg(F.collect_set(F.struct("start", F.lit("term").alias("kind"), "end")).alias("more"))
-    )
+    # An entity with any term in its text has terms near it, so ``near`` knows the texts of each.
+    told = near.select("row", "entity").distinct().join(flagged, "entity").groupBy("row").agg(F.collect_set("term").alias("terms"))
+    held = seen.where("body is not null").join(told, "row").select("row", F.pandas_udf(_everywhere, _SPAN)("body", "base", "terms").alias("more"))
+    more = held.where("size(more) > 0")
     k = "array('email', 'ip', 'card', 'phone', 'term')"
     order = F.expr(
         "array_sort(concat(base, coalesce(more, array())), (a, b) -> case when a.start <> b.start then a.start - b.start "
