@@ -32,15 +32,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without an id answer to each other only: one of those alike stays, whatever stays of the others.
     """
     scratch = Scratch(spark, "copies")
-    rows = scratch.cut(docs.select(F.monotonically_increasing_id().alias("at"), F.struct(*docs.columns).alias("doc")), "rows")
-    alone = F.col("doc.doc_id").isNull()
-    row = F.struct(F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(0)).alias("id"), F.col("at")).alias("row")
-    texts = rows.select("at", row, alone.alias("alone"), F.col("doc.text").alias("text"))
-    got = simhash.near_duplicates(texts, "at").select(F.col("doc_id").alias("at"), "component_id")
-    named = got.join(texts.select("at", "row", "alone"), "at")
-    stay = scratch.cut(named.groupBy("component_id", "alone").agg(F.min("row").alias("row")).select("row.at"), "stay")
-    gone = jaccard.copies(texts, stay).select("row.at")
-    return rows.join(stay.join(gone, "at", "left_anti"), "at", "left_semi").select("doc.*")
+    rows = scratch.cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "rows")
+    texts = rows.select("row", F.col("doc.doc_id").alias("id"), F.isnull("doc.doc_id").alias("alone"), F.col("doc.text").alias("text"))
+    got = simhash.near_duplicates(texts, "row").select(F.col("doc_id").alias("row"), "component_id")
+    named = got.join(texts.select("row", "id", "alone"), "row")
+    stay = scratch.cut(named.groupBy("component_id", "alone").agg(F.min(F.struct("id", "row")).alias("s")).select("s.row"), "stay")
+    stay = stay.join(jaccard.copies(texts, stay), "row", "left_anti")
+    return rows.join(stay, "row", "left_semi").select("doc.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

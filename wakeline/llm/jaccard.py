@@ -16,7 +16,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.llm.common import Scratch, components
@@ -49,8 +49,8 @@ def _common(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(np.array([r.key for r in rows], dtype=np.int64).view(np.uint64))
 
 
-def _prefixes(docs: DataFrame, width: int, least: float) -> DataFrame:
-    """(row, at, alone, n, key)"""
+def _prefixes(docs: DataFrame, among: DataFrame, width: int, least: float) -> DataFrame:
+    """(row, n, key)"""
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, width))
 
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -62,8 +62,16 @@ def _prefixes(docs: DataFrame, width: int, least: float) -> DataFrame:
             out.append((n, h[: n - math.ceil(least * n - 1e-9) + 1].view(np.int64)))
         return pd.DataFrame(out, columns=["n", "keys"])
 
-    got = docs.select("row", "at", "alone", F.pandas_udf(run, "n long, keys array<long>")("text").alias("p"))
-    return got.select("row", "at", "alone", "p.n", F.explode("p.keys").alias("key"))
+    got = docs.select("row", "alone", F.pandas_udf(run, "n int, keys array<long>")("text").alias("p")).join(among, "row", "left_semi")
+    key = F.when(F.col("alone"), F.expr("~key")).otherwise(F.col("key"))
+    return got.select("row", "alone", "p.n", F.explode("p.keys").alias("key")).select("row", "n", key.alias("key"))
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows of shingles that more than one has, with how many there are and the first of them.  One shuffle of all."""
+    own = Window.partitionBy("key")
+    rows = rows.select("row", "n", "key", F.count("*").over(own).alias("c"), F.min(F.struct("row", "n")).over(own).alias("first"))
+    return rows.where("c > 1")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, width: int, least: float) -> DataFrame:
@@ -81,27 +89,36 @@ def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, width: int, l
 
 
 def copies(docs: DataFrame, among: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataFrame:
-    """The column ``row`` of the rows to leave out, of those whose ``at`` is ``among``.
+    """The column ``row`` of the rows to leave out, of those that are in ``among``.
 
-    ``docs`` has a unique ``row`` (the smallest stays), ``at``, ``text``, and ``alone``, which tells two parts
-    of the rows; rows of different parts are not compared.
+    ``docs`` has a unique ``row``, ``id``, ``text``, and ``alone``, which tells two parts of the rows; rows of
+    different parts are not compared.  Of similar rows the one with the smallest id stays.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    alive = _prefixes(docs, width, least).join(among, "at", "left_semi")
-    alive = scratch.cut(alive.select("row", "n", F.when(F.col("alone"), F.expr("~key")).otherwise(F.col("key")).alias("key")), "prefixes")
+    alive = scratch.cut(_shared(_prefixes(docs, among, width, least)), "shared")
     gone, full = None, False
     while True:
-        shared = scratch.cut(alive.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("row", "n")).alias("first")).where("c > 1"), "shared")
-        crowded = shared.where("false" if full else f"c > {CROWD}")
-        few = alive.join(shared.where("true" if full else f"c <= {CROWD}").select("key"), "key", "left_semi")
+        crowded = "false" if full else f"c > {CROWD}"
+        few = alive.where(f"not ({crowded})")
         fits = f"u.n * {least} <= v.n + 1e-6 and v.n * {least} <= u.n + 1e-6"
-        pairs = few.alias("u").join(few.alias("v"), "key").where(f"u.row < v.row and {fits}").select(F.col("u.row").alias("u"), F.col("v.row").alias("v"))
-        stars = alive.alias("v").join(crowded.select("key", F.col("first.row").alias("r"), F.col("first.n").alias("n")).alias("u"), "key")
-        pairs = pairs.union(stars.where(f"v.row <> r and {fits}").select(F.col("r").alias("u"), F.col("v.row").alias("v")))
-        roots = components(scratch, _verified(docs, pairs, scratch, width, least))
-        found = scratch.cut(roots.where("node <> root").select(F.col("node").alias("row")).distinct(), "found")
+        pairs = few.alias("u").join(few.alias("v"), "key").where(f"u.row < v.row and {fits}").selectExpr("u.row u", "v.row v", "u.n m", "v.n n", "1 few")
+        stars = alive.where(crowded).select("first.row", F.col("first.n").alias("m"), F.col("row").alias("v"), "n")
+        stars = stars.where(f"row <> v and n * {least} <= m + 1e-6 and m * {least} <= n + 1e-6")
+        pairs = pairs.union(stars.selectExpr("row u", "v", "m", "n", "0 few"))
+        # What two sets share past their firsts is bounded by their sizes, so that they must share enough of these;
+        # of crowded shingles it is known only how many each row has.
+        pairs = pairs.groupBy("u", "v", "m", "n").agg(F.sum("few").alias("few"))
+        pairs = pairs.join(alive.where(crowded).groupBy(F.col("row").alias("u")).agg(F.count("*").alias("more")), "u", "left")
+        ceil = "cast(ceil({} - 1e-6) as bigint)".format
+        needs = f"{ceil(f'(m + n) * {least} / (1 + {least})')} - greatest({ceil(f'm * {least}')}, {ceil(f'n * {least}')}) + 1"
+        pairs = pairs.where(f"few + coalesce(more, 0) >= {needs}").select("u", "v")
+        roots = components(scratch, _verified(docs, pairs, scratch, width, least)).distinct()
+        roots = scratch.cut(roots.join(docs.select(F.col("row").alias("node"), "id"), "node"), "roots")
+        stay = roots.groupBy("root").agg(F.min(F.struct("id", "node")).alias("s")).select("s.node")
+        found = scratch.cut(roots.join(stay, "node", "left_anti").select(F.col("node").alias("row")), "found")
         gone = found if gone is None else gone.union(found)
-        if full or crowded.isEmpty():
+        rest = alive.where(crowded)
+        if full or rest.isEmpty():
             return gone
         full = found.isEmpty()
-        alive = scratch.cut(alive.join(crowded.select("key"), "key", "left_semi").join(found, "row", "left_anti"), "alive")
+        alive = scratch.cut(_shared(rest.join(found, "row", "left_anti")), "alive")
