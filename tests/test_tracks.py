@@ -214,3 +214,22 @@ def test_streamed_stops_match_the_batch(spark, tmp_path):
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
     both = got.join(want.select("stop_id", F.col("r95_km").alias("w"), F.col("center_lat").alias("c")), "stop_id").collect()
     assert len(both) > 5 and all(r.r95_km == pytest.approx(r.w) and r.center_lat == pytest.approx(r.c) for r in both)
+
+
+def test_registered_fits_are_whole(spark, monkeypatch):
+    """The queries for the regressors fit with the operators' own trees and epochs."""
+    asked = []
+
+    class Stop(Exception):
+        pass
+
+    def ask(*_, **how):
+        asked.append(how)
+        raise Stop
+
+    for name in ("run_eta", "run_sequence_eta", "run_window_eta"):
+        monkeypatch.setattr(catalog.pipelines, name, ask)
+    for name in ("rf_eta_metrics", "rf_importance", "eta_point", "lstm_sequence_metrics", "lstm_window_metrics", "lstm_window_history"):
+        with pytest.raises(Stop):
+            catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(asked) == 6 and not any({"trees", "epochs"} & set(how) for how in asked)

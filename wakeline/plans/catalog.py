@@ -234,30 +234,30 @@ def ports_maxradius(spark, d):
 
 @query()
 def rf_eta_metrics(spark, d):
-    return pipelines.run_eta(ais.from_events(spark, d), trees=20).metrics
+    return pipelines.run_eta(ais.from_events(spark, d)).metrics
 
 
 @query()
 def rf_importance(spark, d):
-    return pipelines.run_eta(ais.from_events(spark, d), trees=20).importances
+    return pipelines.run_eta(ais.from_events(spark, d)).importances
 
 
 @query()
 def eta_point(spark, d):
-    model = pipelines.run_eta(ais.from_events(spark, d), trees=20).model
+    model = pipelines.run_eta(ais.from_events(spark, d)).model
     return models.eta_point(spark, model, 25.154453, 121.377811, 11.8, 25.1384, 121.7476, "2025-07-25 00:00:00")
 
 
 @query()
 def lstm_sequence_metrics(spark, d):
-    return pipelines.run_sequence_eta(ais.from_events(spark, d), epochs=5).metrics
+    return pipelines.run_sequence_eta(ais.from_events(spark, d)).metrics
 
 
 @query()
 def lstm_window_metrics(spark, d):
-    return pipelines.run_window_eta(ais.from_events(spark, d), 20, 10, epochs=10).metrics
+    return pipelines.run_window_eta(ais.from_events(spark, d), 20, 10).metrics
 
 
 @query()
 def lstm_window_history(spark, d):
-    return pipelines.run_window_eta(ais.from_events(spark, d), 20, 10, epochs=10).history
+    return pipelines.run_window_eta(ais.from_events(spark, d), 20, 10).history
