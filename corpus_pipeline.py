@@ -5,10 +5,10 @@ the columns of documents.  Null texts have no letter and go in the first stage.
 row, so that different texts under one id are different documents, and all rows but one of a copied row go.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wakeline.llm import decontam, jaccard, langid, mixing, pii, simhash
+from wakeline.llm import decontam, langid, mixing, nearcopies, pii
 from wakeline.llm.common import Scratch, table
 
 #: A document in which this many benchmark items occur goes.
@@ -27,18 +27,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts alike by ``simhash``'s fingerprints, then by ``jaccard``'s similarity, the row with the smallest id stays.
+    """Of each group of texts alike by ``nearcopies`` (five-word shingles, similarity 0.8) the row with the smallest id stays.
 
-    Rows without an id answer to each other only: one of those alike stays, whatever stays of the others.
+    Rows without an id answer to each other only: one of those alike stays, whatever stays of the others.  Rows
+    of one id and text are one; of them stays the one whose columns hash lowest.
     """
-    scratch = Scratch(spark, "copies")
-    rows = scratch.cut(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "rows")
-    texts = rows.select("row", F.col("doc.doc_id").alias("id"), F.isnull("doc.doc_id").alias("alone"), F.col("doc.text").alias("text"))
-    got = simhash.near_duplicates(texts, "row").select(F.col("doc_id").alias("row"), "component_id")
-    named = got.join(texts.select("row", "id", "alone"), "row")
-    stay = scratch.cut(named.groupBy("component_id", "alone").agg(F.min(F.struct("id", "row")).alias("s")).select("s.row"), "stay")
-    stay = stay.join(jaccard.copies(texts, stay), "row", "left_anti")
-    return rows.join(stay, "row", "left_semi").select("doc.*")
+    row = F.xxhash64("doc_id", "text").alias("row")
+    stay = nearcopies.survivors(docs.select(row, F.col("doc_id").alias("id"), F.isnull("doc_id").alias("alone"), "text"))
+    kept = docs.select(row, F.struct(*docs.columns).alias("doc")).join(stay, "row", "left_semi")
+    first = Window.partitionBy("row").orderBy(F.xxhash64("doc"))
+    return kept.withColumn("place", F.row_number().over(first)).where("place = 1").select("doc.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
