@@ -4,12 +4,17 @@ Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-ca
 ``#`` or the end.  A null url, or one without ``://``, has both empty.  A rule fits its host and all
 subdomains if the path starts with the rule's; the longest rule wins, and its verdict is final.
 
-Tree: a path is cut at ``/`` into segments, of which those past ``DEPTH`` count as one.  Runs of digits in a
-segment become ``#``, and the segments below one node of a host's tree become ``*`` where there are more than
-``FANOUT`` different ones.  What rules decide is the labelled evidence.  Sibling templates whose block rates
-do not differ from their common rate by more than ``SIGMAS`` standard deviations are merged.  Urls without a
-rule are blocked if their template has labelled urls and the rate, smoothed by ``PRIOR`` urls at the rate of
-all labelled urls, is at least ``PURITY``; else they are allowed.
+Tree: a path is cut at ``/`` into segments, in which runs of digits become ``#``.  From the root of a host's tree
+down, a node of ``EVIDENCE`` urls or more is looked at, labelled or not.  Where more than ``VARIABLE`` of its
+urls have a segment of their own, the segment is variable and its branches become ``*``.  Otherwise branches
+are merged into ``~`` that are statistically alike: the segments one further down are spread as in all of the
+node's branches, by the chi-square statistic within ``SIGMAS`` standard deviations, and the share of blocked
+urls, if any are labelled, does not differ from the node's by more than as many.  Other branches stay apart, as
+do all of smaller nodes.
+
+What rules decide is the labelled evidence.  A url without a rule is blocked if its template has labelled urls
+and their blocked share, smoothed by ``PRIOR`` urls at the share of all templates with the same parent, which is
+itself smoothed towards that of all labelled urls, is at least ``PURITY``; else it is allowed.
 
 The tree is built from counts of distinct templates, pre-aggregated, so a host with a third of all pages is
 a few rows.  Repeated rows count one by one and are judged alike; an empty table gives no rows; other columns
@@ -29,8 +34,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-DEPTH = 4
-FANOUT = 16
+EVIDENCE = 8
+VARIABLE = 0.5
 SIGMAS = 2.0
 PRIOR = 2.0
 PURITY = 0.9
@@ -52,21 +57,48 @@ def matched(rules: tuple[tuple[str, str, str], ...]) -> Column:
 
 
 def _segments() -> Column:
-    cut = F.expr("filter(split(path, '/'), s -> s <> '')")
-    deep = F.when(F.size(cut) > DEPTH, F.concat(F.slice(cut, 1, DEPTH - 1), F.array(F.array_join(F.slice(cut, DEPTH, 1 << 20), "/")))).otherwise(cut)
-    return F.transform(deep, lambda s: F.regexp_replace(s, "[0-9]+", "#"))
-
-
-def _generalised(tree: DataFrame) -> DataFrame:
-    """Adds ``template``: the segments, from the root down, with ``*`` below crowded nodes."""
-    tree = tree.withColumn("node", F.lit(""))
-    for d in range(DEPTH):
-        here = tree.where(F.size("segments") > d).groupBy("host", "node").agg(F.count_distinct(F.col("segments")[d]).alias("kinds"))
-        crowded = here.where(F.col("kinds") > FANOUT).select("host", "node", F.lit(True).alias("crowded"))
-        step = F.when(F.col("crowded"), F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("segments")[d]))
-        tree = tree.join(crowded, ["host", "node"], "left")
-        tree = tree.withColumn("node", F.when(F.size("segments") > d, F.concat("node", step)).otherwise(F.col("node"))).drop("crowded")
-    return tree.withColumnRenamed("node", "template")
+    return F.transform(F.expr("filter(split(path, '/'), s -> s <> '')"), lambda s: F.regexp_replace(s, "[0-9]+", "#"))
+
+
+def _level(scratch: Scratch, live: DataFrame, d: int) -> DataFrame:
+    """Adds ``name`` to ``live(host, node, segments, n, known, bad)``: that of segment ``d`` below ``node``; null below small nodes."""
+    at = ["host", "node"]
+    own = live.withColumn("seg", F.col("segments")[d]).withColumn("shape", F.coalesce(F.get("segments", F.lit(d + 1)), F.lit("")))
+    cells = scratch.cut(own.groupBy(*at, "seg", "shape").agg(F.sum("n").alias("c"), F.sum("known").alias("k"), F.sum("bad").alias("b")), "cells")
+    shapes = cells.groupBy(*at, "shape").agg(F.sum("c").alias("every"))
+    kids = cells.join(shapes, [*at, "shape"]).groupBy(*at, "seg").agg(F.sum("c").alias("m"), F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum(F.col("c") * F.col("c") / F.col("every")).alias("q"))
+    free = shapes.groupBy(*at).agg((F.count("*") - 1).alias("free"))
+    node = kids.groupBy(*at).agg(F.sum("m").alias("total"), F.count("*").alias("kinds"), (F.try_divide(F.sum("b"), F.sum("k"))).alias("common"))
+    kids = kids.join(node, at).join(free, at)
+    chi = F.round(F.col("total") * F.col("q") / F.col("m") - F.col("m"), 6)
+    alike = chi <= F.round(F.col("free") + SIGMAS * F.sqrt(2 * F.col("free")), 6)
+    apart = F.round(F.abs(F.col("b") / F.greatest("k", F.lit(1)) - F.col("common")), 6) > F.round(SIGMAS * F.sqrt(F.col("common") * (1 - F.col("common")) / F.greatest("k", F.lit(1))), 6)
+    variable = F.col("kinds") > VARIABLE * F.col("total")
+    name = F.when(variable, "*").when(alike & ((F.col("k") == 0) | ~apart), "~").otherwise(F.concat(F.lit("="), "seg"))
+    kids = kids.select(*at, "seg", F.when(F.col("total") >= EVIDENCE, name).alias("name"))
+    return own.drop("shape").join(kids, [*at, "seg"]).drop("seg")
+
+
+def _templates(scratch: Scratch, leaves: DataFrame) -> DataFrame:
+    """Adds ``template`` to ``leaves(host, segments, n, known, bad)``.
+
+    One round for each level on which some node has enough urls, however long the longest path is.
+    """
+    live = leaves.withColumn("node", F.lit(""))
+    done, d = live.where("size(segments) = 0").withColumnRenamed("node", "template"), 0
+    live = live.where("size(segments) > 0")
+    columns = done.columns
+    while True:
+        step = scratch.cut(_level(scratch, live, d), "level")
+        # Below a node with few urls are only nodes with fewer: the rest of the path is its own template.
+        rest = F.concat("node", F.lit("/="), F.array_join(F.slice("segments", d + 1, F.size("segments")), "/="))
+        node = F.when(F.col("name").isNull(), rest).otherwise(F.concat("node", F.lit("/"), "name"))
+        over = F.col("name").isNull() | (F.size("segments") == d + 1)
+        done = done.union(step.where(over).withColumn("template", node).select(columns))
+        live = step.where(~over).withColumn("node", node).drop("name")
+        if live.isEmpty():
+            return done
+        d += 1
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
@@ -75,18 +107,16 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     host, path = host_and_path(url_col)
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     urls = urls.withColumn("m", matched(rules)).select("page_id", "host", "path", "m.rule", F.col("m.verdict").alias("ruled"), _segments().alias("segments"))
-    leaves = urls.groupBy("host", "segments").agg(F.count("ruled").alias("known"), F.count_if(F.col("ruled") == "block").alias("bad"))
-    leaves = scratch.cut(_generalised(scratch.cut(leaves, "leaves")), "tree")
+    leaves = urls.groupBy("host", "segments").agg(F.count("*").alias("n"), F.count("ruled").alias("known"), F.count_if(F.col("ruled") == "block").alias("bad"))
+    leaves = scratch.cut(leaves, "leaves")
     rate = leaves.agg(F.try_divide(F.sum("bad"), F.sum("known"))).first()[0] or 0.0
+    leaves = scratch.cut(_templates(scratch, leaves), "tree")
 
-    nodes = leaves.groupBy("host", "template").agg(F.sum("known").alias("known"), F.sum("bad").alias("bad"))
-    nodes = scratch.cut(nodes.where("known > 0").withColumn("parent", F.regexp_replace("template", "/[^/]*$", "")), "nodes")
-    family = nodes.groupBy("host", "parent").agg((F.sum("bad") / F.sum("known")).alias("common"))
-    apart = F.abs(F.col("bad") / F.col("known") - F.col("common")) > SIGMAS * F.sqrt(F.col("common") * (1 - F.col("common")) / F.col("known"))
-    nodes = nodes.join(family, ["host", "parent"]).withColumn("branch", F.when(apart, F.col("template")).otherwise(F.lit("")))
-    merged = nodes.groupBy("host", "parent", "branch").agg(F.sum("known").alias("k"), F.sum("bad").alias("b"))
-    purity = (F.col("b") + PRIOR * rate) / (F.col("k") + PRIOR)
-    rejected = nodes.join(merged, ["host", "parent", "branch"]).where(purity >= PURITY).select("host", "template")
+    nodes = leaves.groupBy("host", "template").agg(F.sum("known").alias("k"), F.sum("bad").alias("b"))
+    nodes = nodes.where("k > 0").withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
+    family = nodes.groupBy("host", "parent").agg(((F.sum("b") + PRIOR * rate) / (F.sum("k") + PRIOR)).alias("common"))
+    purity = F.round((F.col("b") + PRIOR * F.col("common")) / (F.col("k") + PRIOR), 9)
+    rejected = nodes.join(family, ["host", "parent"]).where(purity >= PURITY).select("host", "template")
     bad = leaves.join(rejected, ["host", "template"], "left_semi").select("host", "segments", F.lit("block").alias("learned"))
     bad = scratch.cut(bad, "rejected")
     out = urls.join(bad, ["host", "segments"], "left")
@@ -97,6 +127,21 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+_LEVEL = r"""
+o{d} AS (SELECT *, seg[{d} + 1] AS s, coalesce(seg[{d} + 2], '') AS shape FROM t{d} WHERE len(seg) > {d} AND NOT over),
+c{d} AS (SELECT host, node, s, shape, sum(n) AS c, sum(known) AS k, sum(bad) AS b FROM o{d} GROUP BY ALL),
+e{d} AS (SELECT host, node, shape, sum(c) AS every FROM c{d} GROUP BY ALL),
+k{d} AS (SELECT host, node, s, sum(c) AS m, sum(k) AS k, sum(b) AS b, sum(c * c / every::DOUBLE) AS q FROM c{d} JOIN e{d} USING (host, node, shape) GROUP BY ALL),
+g{d} AS (SELECT host, node, sum(m) AS total, count(*) AS kinds, sum(b)::DOUBLE / nullif(sum(k), 0) AS common FROM k{d} GROUP BY ALL),
+f{d} AS (SELECT host, node, count(*) - 1 AS free FROM e{d} GROUP BY ALL),
+n{d} AS (SELECT host, node, s, CASE WHEN total < 8 THEN NULL WHEN kinds > 0.5 * total THEN '*'
+  WHEN round(total * q / m - m, 6) <= round(free + 2.0 * sqrt(2 * free), 6) AND (k = 0 OR round(abs(b::DOUBLE / k - common), 6) <= round(2.0 * sqrt(common * (1 - common) / k), 6)) THEN '~'
+  ELSE '=' || s END AS name FROM k{d} JOIN g{d} USING (host, node) JOIN f{d} USING (host, node)),
+t{e} AS (SELECT host, seg, n, known, bad, CASE WHEN name IS NULL THEN node || '/=' || array_to_string(seg[{d} + 1:], '/=') ELSE node || '/' || name END AS node, name IS NULL OR len(seg) = {d} + 1 AS over
+  FROM o{d} JOIN n{d} USING (host, node, s)),"""
+#: The oracle's tree goes this deep; the longest path of the tables has two segments.
+_LEVELS = 4
+
 ORACLE = r"""
 WITH parts AS (
   SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -110,17 +155,13 @@ ruled AS (
     list_filter(string_split(path, '/'), lambda s: s <> '') AS cut FROM parts),
 urls AS (
   SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled,
-    list_transform(CASE WHEN len(cut) > 4 THEN list_append(cut[1:3], array_to_string(cut[4:], '/')) ELSE cut END, lambda s: regexp_replace(s, '[0-9]+', '#', 'g')) AS seg FROM ruled),
-t0 AS (SELECT host, seg, count(ruled) AS known, count(*) FILTER (ruled = 'block') AS bad, '' AS node FROM urls GROUP BY host, seg),
-t1 AS (SELECT t.* EXCLUDE (node), CASE WHEN len(seg) < 1 THEN node WHEN kinds > 16 THEN node || '/*' ELSE node || '/' || seg[1] END AS node FROM t0 t LEFT JOIN (SELECT host, node, count(DISTINCT seg[1]) AS kinds FROM t0 WHERE len(seg) >= 1 GROUP BY ALL) USING (host, node)),
-t2 AS (SELECT t.* EXCLUDE (node), CASE WHEN len(seg) < 2 THEN node WHEN kinds > 16 THEN node || '/*' ELSE node || '/' || seg[2] END AS node FROM t1 t LEFT JOIN (SELECT host, node, count(DISTINCT seg[2]) AS kinds FROM t1 WHERE len(seg) >= 2 GROUP BY ALL) USING (host, node)),
-t3 AS (SELECT t.* EXCLUDE (node), CASE WHEN len(seg) < 3 THEN node WHEN kinds > 16 THEN node || '/*' ELSE node || '/' || seg[3] END AS node FROM t2 t LEFT JOIN (SELECT host, node, count(DISTINCT seg[3]) AS kinds FROM t2 WHERE len(seg) >= 3 GROUP BY ALL) USING (host, node)),
-t4 AS (SELECT t.* EXCLUDE (node), CASE WHEN len(seg) < 4 THEN node WHEN kinds > 16 THEN node || '/*' ELSE node || '/' || seg[4] END AS template FROM t3 t LEFT JOIN (SELECT host, node, count(DISTINCT seg[4]) AS kinds FROM t3 WHERE len(seg) >= 4 GROUP BY ALL) USING (host, node)),
-nodes AS (SELECT host, template, sum(known) AS known, sum(bad) AS bad, regexp_replace(template, '/[^/]*$', '') AS parent FROM t4 GROUP BY host, template HAVING sum(known) > 0),
-family AS (SELECT host, parent, sum(bad)::DOUBLE / sum(known) AS common FROM nodes GROUP BY host, parent),
-branched AS (SELECT n.*, CASE WHEN abs(bad::DOUBLE / known - common) > 2.0 * sqrt(common * (1 - common) / known) THEN template ELSE '' END AS branch FROM nodes n JOIN family USING (host, parent)),
-merged AS (SELECT host, parent, branch, sum(known) AS k, sum(bad) AS b FROM branched GROUP BY ALL),
-rejected AS (SELECT host, template FROM branched JOIN merged USING (host, parent, branch) WHERE (b + 2.0 * (SELECT coalesce(sum(bad)::DOUBLE / nullif(sum(known), 0), 0) FROM t4)) / (k + 2.0) >= 0.9),
-learned AS (SELECT host, seg FROM t4 SEMI JOIN rejected USING (host, template))
+    list_transform(cut, lambda s: regexp_replace(s, '[0-9]+', '#', 'g')) AS seg FROM ruled),
+t0 AS (SELECT host, seg, count(*) AS n, count(ruled) AS known, count(*) FILTER (ruled = 'block') AS bad, '' AS node, len(seg) = 0 AS over FROM urls GROUP BY host, seg),""" + "".join(_LEVEL.format(d=d, e=d + 1) for d in range(_LEVELS)) + f"""
+tree AS ({" UNION ALL ".join(f"SELECT host, seg, known, bad, node AS template FROM t{d} WHERE over" for d in range(_LEVELS + 1))}),
+nodes AS (SELECT host, template, sum(known) AS k, sum(bad) AS b, regexp_replace(template, '/[^/]*$', '') AS parent FROM tree GROUP BY host, template HAVING sum(known) > 0),
+rate AS (SELECT coalesce(sum(bad)::DOUBLE / nullif(sum(known), 0), 0) AS r FROM tree),
+family AS (SELECT host, parent, (sum(b) + 2.0 * any_value(r)) / (sum(k) + 2.0) AS common FROM nodes, rate GROUP BY host, parent),
+rejected AS (SELECT host, template FROM nodes JOIN family USING (host, parent) WHERE round((b + 2.0 * common) / (k + 2.0), 9) >= 0.9),
+learned AS (SELECT host, seg FROM tree SEMI JOIN rejected USING (host, template))
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN l.host IS NOT NULL THEN 'block' END, 'allow') AS verdict FROM urls u LEFT JOIN learned l USING (host, seg)
 """
