@@ -4,16 +4,16 @@ Texts are normalised by lower-casing A-Z and taking words ``[^\\x00-\\x2F\\x3A-\
 is ``width`` consecutive words of an item; an item of fewer, but not none, is one window.  Each document is
 scanned once; a word inside any occurrence of a window is hit, and hits map back to spans of the original.
 
-The automaton is broadcast.  Items are taken ``MAX_CHARS`` characters at a time, so a large benchmark is
-scanned in several passes and what is broadcast stays bounded.  Null texts and texts without words have no
-hits; items without words never occur; repeated items count by distinct id, repeated documents one by one;
-an empty benchmark leaves all documents clean, an empty table gives no rows, other columns are ignored.
+The automaton is built on the driver and broadcast.  It does not grow with the documents; a benchmark of more than
+``MAX_CHARS`` characters, for which it would not fit, is refused with an error.  Null texts and texts without
+words have no hits; items without words never occur; ids of items may be of any type; an item without an id
+counts as one item and names none; repeated items count by distinct id, repeated documents one by one; an
+empty benchmark leaves all documents clean, an empty table gives no rows, other columns are ignored.
 """
 
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from wakeline.llm.common import table
 
 WIDTH = 8
-#: Characters of benchmark text in one broadcast automaton; about 100 bytes of memory for each.
-MAX_CHARS = 1_000_000
+#: Characters of benchmark text, each of which takes some 100 bytes of the automaton in the driver and in each worker.
+MAX_CHARS = 5_000_000
 
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LETTER = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -40,12 +40,12 @@ def windows(text: str | None, width: int = WIDTH) -> list[bytes]:
     return [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
 
 
-def automaton(items: list[tuple[int, str | None]], width: int = WIDTH):
+def automaton(items: list[tuple[str | None, str | None]], width: int = WIDTH):
     """Finds windows in a normalised text with a space at either end; values are (words, places).
 
     A place is (item id, item's row, its words, first word of the window), so that a row's share can be told.
     """
-    owners: dict[bytes, list[tuple[int, int, int, int]]] = defaultdict(list)
+    owners: dict[bytes, list[tuple[str | None, int, int, int]]] = defaultdict(list)
     for row, (item, text) in enumerate(items):
         n = len(normalise(text))
         for at, w in enumerate(windows(text, width)):
@@ -57,7 +57,7 @@ def automaton(items: list[tuple[int, str | None]], width: int = WIDTH):
     return found
 
 
-def scan(words: list[bytes], found) -> tuple[np.ndarray | None, dict[int, tuple[float, int]]]:
+def scan(words: list[bytes], found) -> tuple[np.ndarray | None, dict[str | None, tuple[float, int]]]:
     """Mask of the words hit (None: none), and for each item with occurring windows the share of its words they cover, and its words."""
     if not words or not len(found):
         return None, {}
@@ -70,11 +70,11 @@ def scan(words: list[bytes], found) -> tuple[np.ndarray | None, dict[int, tuple[
         last = int(np.searchsorted(after, end))
         mask[last - n + 1 : last + 1] = True
         seen[own] = n
-    held: dict[tuple[int, int, int], set[int]] = defaultdict(set)
+    held: dict[tuple[str | None, int, int], set[int]] = defaultdict(set)
     for own, n in seen.items():
         for item, row, size, at in own:
             held[item, row, size].update(range(at, at + n))
-    shares: dict[int, tuple[float, int]] = {}
+    shares: dict[str | None, tuple[float, int]] = {}
     for (item, _, size), places in held.items():
         shares[item] = max(shares.get(item, (0.0, 0)), (len(places) / size, size))
     return mask, shares
@@ -89,36 +89,30 @@ def spans(text: str, mask: np.ndarray) -> list[tuple[int, int]]:
     return [(int(chars[at[a][0]]), int(chars[at[b - 1][1]])) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def _parts(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    part, size = [], 0
-    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
-    for r in rows.toLocalIterator():
-        if part and size + len(r.t) > MAX_CHARS:
-            yield part
-            part, size = [], 0
-        part.append((r.i, r.t))
-        size += len(r.t)
-    yield part
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> list[tuple[str | None, str]]:
+    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
+    size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    if size > MAX_CHARS:
+        raise ValueError(f"a benchmark of {size} characters; one automaton takes {MAX_CHARS} at most")
+    return [(r.i, r.t) for r in rows.collect()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = WIDTH, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (two items or more), hit_spans, items (each with the share of its words that is covered, and its words) and, if there are columns to ``keep``, a struct ``kept`` of them."""
-    sc = docs.sparkSession.sparkContext
-    models = [sc.broadcast(automaton(part, width)) for part in _parts(benchmark, item_col, text_col)]
+    found = docs.sparkSession.sparkContext.broadcast(automaton(_items(benchmark, item_col, text_col), width))
 
     def run(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
-            words, mask, ids = normalise(t), None, {}
-            for m in models:
-                own, more = scan(words, m.value)
-                mask = own if mask is None else mask if own is None else mask | own
-                ids |= {i: max(x, ids.get(i, (0.0, 0))) for i, x in more.items()}
-            sha = hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
-            out.append((len(words), 0 if mask is None else int(mask.sum()), len(ids), sha, [] if mask is None else [{"start": a, "end": b} for a, b in spans(t, mask)], [{"item": i, "share": x, "words": n} for i, (x, n) in sorted(ids.items())]))
+            words = normalise(t)
+            mask, ids = scan(words, found.value)
+            sha = hashlib.sha256(",".join(sorted(i for i in ids if i is not None)).encode()).hexdigest()
+            hits = [] if mask is None else [{"start": a, "end": b} for a, b in spans(t, mask)]
+            items = [{"item": i, "share": x, "words": n} for i, (x, n) in sorted(ids.items(), key=lambda e: (e[0] is None, e[0]))]
+            out.append((len(words), 0 if mask is None else int(mask.sum()), len(ids), sha, hits, items))
         return pd.DataFrame(out, columns=["n_words", "n_hit", "n_items", "items_sha256", "hit_spans", "items"])
 
-    kind = "n_words long, n_hit long, n_items long, items_sha256 string, hit_spans array<struct<start: int, end: int>>, items array<struct<item: long, share: double, words: long>>"
+    kind = "n_words long, n_hit long, n_items long, items_sha256 string, hit_spans array<struct<start: int, end: int>>, items array<struct<item: string, share: double, words: long>>"
     kept = [F.struct(*keep).alias("kept")] if keep else []
     got = docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(run, kind)(F.col(text_col)).alias("_p"), *kept)
     return got.select("doc_id", "_p.*", (F.col("_p.n_items") >= 2).alias("contaminated"), *(["kept"] if keep else []))
