@@ -3,13 +3,14 @@
 Components are quantised to floor(256 x).  Candidates come in blocks; a block keeps, for each dimension, its
 vectors sorted by that component.  For a query, the lists are read in order, from the end that its sign
 favours, all to the same depth.  A vector's score lies between what was read of it plus the worst, and plus
-the next unread, value of each list it was not yet read in.  Reading stops when, for all but a few vectors,
-the upper bound is below the k-th best lower bound, and the rest get their final scores.  The k-th best score
-of earlier blocks, and among the queries themselves, is a lower bound from the start.
-
-Queries go in broadcast blocks of ``QUERY_BLOCK``, so what is broadcast is bounded; each task returns at most
-k rows for a query.  Vectors that are null or hold null or non-finite components, and rows with a null id,
-take no part.  Shorter vectors count as padded with zeros.  Rows that share the query's id are its own.
+the next unread, value of each list it was not yet read in.  Reading stops when no vector but k has an upper
+bound that reaches the k-th best lower bound, or else at the lists' ends, where bounds are scores; then the
+vectors left get their final scores.  The k-th best score of a task's earlier blocks is a lower bound from
+the start.
+
+Queries go in broadcast blocks of ``QUERY_BLOCK``, one after the other, so what is broadcast at once is bounded;
+each task returns at most k rows for a query.  Vectors that are null or hold null or non-finite components, and
+rows with a null id, take no part.  Shorter vectors count as padded with zeros.  Rows that share the query's id are its own.
 Ties go to the smaller id; repeated rows each take a rank; an empty table gives no rows; other columns are
 ignored.  Scores are exact below 2**53.
 """
@@ -25,9 +26,8 @@ from wakeline.llm.common import Scratch, table
 
 QUERY_BLOCK = 4096
 BLOCK = 8192
-DEPTHS = (0.3, 0.45, 0.6, 1.0)
-#: Reading ends when this share of a block, or fewer, is left to resolve.
-FEW = 0.3
+#: Shares of the lists after which bounds are compared.
+DEPTHS = (0.25, 0.4, 0.55, 0.7, 0.85, 1.0)
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -69,7 +69,6 @@ class Lists:
         got, unread = np.zeros(n), np.ones((len(dims), n), dtype=np.float32)
         own, at = self.ids == query_id, 0
         alive = np.flatnonzero(~own) if own.any() else np.arange(n)
-        bounded = np.isfinite(floor)
         line = np.arange(len(dims))[:, None]
         for depth in DEPTHS:
             to = min(n, max(at + 1, int(np.ceil(depth * n))))
@@ -83,12 +82,14 @@ class Lists:
             following = np.concatenate([q[plus] * self.ranked[plus, n - 1 - at], q[minus] * self.ranked[minus, at]])
             # Bounds are in single precision but for what was read: a margin keeps them on the safe side.
             margin = 1e-5 * np.abs(np.stack([worst, following])).sum() + 1e-6
-            upper = (got + following.astype(np.float32) @ unread)[alive] + margin
-            if not bounded and len(alive) > k:
-                lower = (got + worst.astype(np.float32) @ unread)[alive] - margin
+            left = unread[:, alive] if 4 * len(alive) < n else unread
+            mine = slice(None) if left is not unread else alive
+            upper = got[alive] + (following.astype(np.float32) @ left)[mine] + margin
+            if len(alive) > k:
+                lower = got[alive] + (worst.astype(np.float32) @ left)[mine] - margin
                 floor = max(floor, np.partition(lower, len(lower) - k)[len(lower) - k])
             alive = alive[upper >= floor]
-            if len(alive) <= max(k, FEW * n):
+            if len(alive) <= k:
                 break
         scores = self.values[alive] @ q
         keep = scores >= floor
@@ -97,10 +98,10 @@ class Lists:
         return self.ids[alive][order], scores[order]
 
 
-def _search(queries: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    q_ids, q_values, floors = queries
+def _search(queries: tuple[np.ndarray, np.ndarray], k: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    q_ids, q_values = queries
     found: list[list[tuple[float, int]]] = [[] for _ in q_ids]
-    floor = floors.copy()
+    floor = np.full(len(q_ids), -np.inf)
 
     def block(ids: list, rows: list) -> None:
         width = max(q_values.shape[1], 1)
@@ -127,51 +128,35 @@ def _search(queries: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, frames:
         yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
-def _floors(ids: np.ndarray, values: np.ndarray, k: int) -> np.ndarray:
-    """For each query the k-th best score among the other queries, which are candidates too; else -inf."""
-    out = np.full(len(ids), -np.inf)
-    for at in range(0, len(ids), 512):
-        scores = values[at : at + 512] @ values.T
-        scores[ids[at : at + 512, None] == ids[None, :]] = -np.inf
-        if len(ids) > k:
-            out[at : at + 512] = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
-    return out
-
-
-def top_k(vectors: DataFrame, is_query: str, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, is_query: str, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other rows for each row that meets ``is_query``."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
     rows = scratch.cut(quantised(vectors, id_col, vec_col), "quantised")
     width = rows.agg(F.max(F.size("v"))).first()[0] or 0
-    parts: list[DataFrame] = []
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
 
-    def search(block: list) -> None:
+    def search(block: list) -> DataFrame:
+        """The block's results, written, so that its broadcast can go before the next."""
         ids = np.array([r.vec_id for r in block], dtype=np.int64)
-        values = matrix([r.v for r in block], max(width, 1))
-        sent = spark.sparkContext.broadcast((ids, values, _floors(ids, values, k)))
+        sent = spark.sparkContext.broadcast((ids, matrix([r.v for r in block], max(width, 1))))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             return _search(sent.value, k, frames)
 
-        parts.append(rows.mapInPandas(run, "query_id long, vec_id long, score long"))
+        found = rows.mapInPandas(run, "query_id long, vec_id long, score long")
+        found = scratch.cut(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "ranked")
+        sent.destroy()
+        return found
 
-    block: list = []
+    out, block = None, []
     for r in rows.where(is_query).distinct().toLocalIterator():
         block.append(r)
-        if len(block) == QUERY_BLOCK:
-            search(block)
-            block = []
-    if block or not parts:
-        search(block)
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = [p.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) for p in parts]
-    if len(ranked) > 1:
-        ranked = [scratch.cut(p, "ranked") for p in ranked]
-    out = ranked[0]
-    for p in ranked[1:]:
-        out = out.union(p)
-    return out.select("query_id", "rank", "vec_id", "score")
+        if len(block) == query_block:
+            out, block = search(block) if out is None else out.union(search(block)), []
+    if block or out is None:
+        out = search(block) if out is None else out.union(search(block))
+    return out
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
