@@ -20,6 +20,7 @@ import html as entities
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,7 @@ _TOKEN = re.compile(
     r"|[^<]++|<",
     re.DOTALL | re.IGNORECASE,
 )
+_REST = re.compile(r"[^<]++|<!--.*\Z|<[!?].*\Z|<", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
@@ -78,11 +80,14 @@ class Page:
         self.texts: list[str | None] = []
         self.skips: list[bool] = []
         self.elements: list[list] = []
-        stack: list[tuple[str, int, bool]] = []
+        # (name, element, skipped, place of the paragraph and of the list item that a new block ends, or -1)
+        stack: list[tuple[str, int, bool, int, int]] = []
+        within: Counter = Counter()
 
         def close(upto: int) -> None:
             while len(stack) > upto:
-                _, k, _ = stack.pop()
+                name, k, *_ = stack.pop()
+                within[name] -= 1
                 self.elements[k][2] = len(self.kinds)
 
         def add(kind: str, text: str | None) -> None:
@@ -90,38 +95,45 @@ class Page:
             self.texts.append(text)
             self.skips.append(bool(stack) and stack[-1][2])
 
-        for m in _TOKEN.finditer(source):
-            name = m[3] or m[6]
+        # Past the last ">" no tag can end, and looking for its end from each "<" would be quadratic.
+        last = source.rfind(">") + 1
+        swallowed = False
+        for m in chain(_TOKEN.finditer(source, 0, last), _REST.finditer(source, last)):
+            if swallowed:
+                break
+            if m.end() == last and m.re is _TOKEN:
+                swallowed = bool(m[1]) and not re.search(rf"</{m[1]}\s*>\Z", m[0], re.IGNORECASE) or m[0].startswith("<!--") and not m[0][4:].endswith("-->")
+            name = (m[3] or m[6]) if m.re is _TOKEN else None
             if name is None:
                 raw = m[0]
-                if m[1] or raw.startswith("<") and len(raw) > 1:
+                if m.re is _TOKEN and m[1] or raw.startswith("<") and len(raw) > 1:
                     continue
                 add(f"w:{stack[-1][0] if stack else ''}", raw)
                 continue
             name = name.lower()
             if m[2] or m[5]:
-                at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-                if at is not None:
-                    close(at)
+                if within[name]:
+                    while stack[-1][0] != name:
+                        close(len(stack) - 1)
+                    close(len(stack) - 1)
                 add(f"/{name}", None)
                 continue
-            if name in _PARAGRAPH_END:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p" or stack[i][0] == "li" and name == "li":
-                        close(i)
-                        break
-                    if stack[i][0] in _CONTAINERS:
-                        break
-            if name == "body":
-                close(next((i for i, s in enumerate(stack) if s[0] == "head"), len(stack)))
+            if name in _PARAGRAPH_END and stack:
+                at = max(stack[-1][3:]) if name == "li" else stack[-1][3]
+                if at >= 0:
+                    close(at)
+            if name == "body" and within["head"]:
+                close(next(i for i, s in enumerate(stack) if s[0] == "head"))
             attributes = m[4] or m[7] or ""
-            within_article = any(s[0] in ("article", "main") for s in stack)
-            skip = bool(stack) and stack[-1][2] or _outside(name, attributes) or name == "header" and not within_article
+            skip = bool(stack) and stack[-1][2] or _outside(name, attributes) or name == "header" and not (within["article"] or within["main"])
             if name in VOID or attributes.endswith("/"):
                 add(name, None)
                 continue
             add(name, None)
-            stack.append((name, len(self.elements), skip))
+            here = len(stack)
+            above = (-1, here) if name == "li" else (-1, -1) if name in _CONTAINERS else stack[-1][3:] if stack else (-1, -1)
+            stack.append((name, len(self.elements), skip, *((here, above[1]) if name == "p" else above)))
+            within[name] += 1
             self.elements.append([name, len(self.kinds), None])
             self.skips[-1] = skip
         close(0)
@@ -210,7 +222,7 @@ def extract(source: str | None, model: dict[str, float]) -> str:
 
 
 def fit(pages: DataFrame, max_pages: int) -> dict[str, float]:
-    """Weights from about ``max_pages`` pages; one row per token class comes to the driver."""
+    """Weights from about ``max_pages`` pages; one row per token class of these comes to the driver."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         inside, outside = Counter(), Counter()
@@ -226,8 +238,6 @@ def fit(pages: DataFrame, max_pages: int) -> dict[str, float]:
     n = pages.count()
     some = pages.where("html is not null").where(F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_pages / max(n, 1))))
     got = some.mapInPandas(run, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside"), F.sum("outside"))
-    # Names a page makes up are no loss: classes beyond the commonest weigh what unknown ones weigh.
-    got = got.orderBy(F.col("sum(inside)") + F.col("sum(outside)"), "kind", ascending=[False, True]).limit(10_000)
     return weights([tuple(r) for r in got.collect()])
 
 
