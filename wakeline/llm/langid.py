@@ -2,7 +2,9 @@
 
 Texts are lower-cased, every ASCII character but a-z counts as a space, and all 1-, 2- and 3-grams of code
 points are hashed to ``2**BITS`` buckets.  Counts per language come from labelled rows outside the held-out
-fold; the log-probability matrix (buckets x languages) is broadcast and batches are scored in numpy.
+fold; the log-probability matrix (buckets x languages) is broadcast and batches are scored in numpy: a text is
+its sparse vector of counts, so memory does not grow with text length times languages, and very long texts
+are counted piece by piece.
 
 The fit takes about ``max_docs`` labelled rows: all of them if there are no more, otherwise those whose hash
 of the id falls below the share that gives this number.  Rows with null text or null language teach nothing.
@@ -27,62 +29,44 @@ EFFECTIVE = 40.0
 UNKNOWN = "und"
 
 
-def _chunks(texts: list[str]) -> Iterator[list[int]]:
-    """Positions of texts, about CHUNK characters at a time; a longer text is alone."""
-    part, size = [], 0
-    for i, t in enumerate(texts):
-        if part and size + len(t) > CHUNK:
-            yield part
-            part, size = [], 0
-        part.append(i)
-        size += len(t)
-    if part:
-        yield part
-
-
 def _codes(text: str) -> np.ndarray:
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
     return np.where((c < 128) & ((c < 97) | (c > 122)), np.uint32(32), c)
 
 
-def _grams(c: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
-    """Bucket of the n-gram that starts at each place, for n = 1, 2, 3; 2**BITS where it would leave its text."""
+def _pieces(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """Code points, CHUNK of them at a time and the two that follow; and how many n-grams begin there."""
+    for at in range(0, max(len(text), 1), CHUNK):
+        c = _codes(text[at : at + CHUNK + 2])
+        yield c, len(c) if at + CHUNK >= len(text) else CHUNK
+
+
+def _grams(c: np.ndarray, own: int) -> Iterator[np.ndarray]:
+    """Buckets of the n-grams that start at the first ``own`` places, for n = 1, 2, 3."""
     h = np.zeros(len(c), dtype=np.uint32)
     for n in range(3):
         h = h[: len(c) - n] if n else h
         if len(h) == 0:
             return
         h = h * np.uint32(0x01000193) + c[n:] * np.uint32(2654435761) + np.uint32(n + 1)
-        bucket = (((h ^ (h >> np.uint32(15))) * np.uint32(2246822519)) >> np.uint32(32 - BITS)).astype(np.int32)
-        bucket[np.arange(len(h)) + n >= ends[: len(h)]] = 1 << BITS
-        yield bucket
-
-
-def _arrays(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of all texts, where each text begins, and for each place the end of its text."""
-    parts = [_codes(t) for t in texts]
-    sizes = np.array([len(p) for p in parts], dtype=np.int64)
-    ends = np.cumsum(sizes)
-    return np.concatenate(parts), ends - sizes, np.repeat(ends, sizes)
+        yield (((h[:own] ^ (h[:own] >> np.uint32(15))) * np.uint32(2246822519)) >> np.uint32(32 - BITS)).astype(np.int64)
 
 
-def counts(texts: list[str]) -> np.ndarray:
-    out = np.zeros((1 << BITS) + 1, dtype=np.int64)
-    for part in _chunks(texts):
-        c, _, ends = _arrays([texts[i] for i in part])
-        for bucket in _grams(c, ends):
-            out += np.bincount(bucket, minlength=len(out))
-    return out[:-1]
+def counts(text: str) -> np.ndarray:
+    out = np.zeros(1 << BITS, dtype=np.int64)
+    for c, own in _pieces(text):
+        out += np.bincount(np.concatenate([*_grams(c, own), np.zeros(0, dtype=np.int64)]), minlength=1 << BITS)
+    return out
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", alpha: float = 0.05) -> tuple[list[str], np.ndarray]:
-    """Languages and matrix (2**BITS + 1, languages) of log-probabilities; the last row is zero."""
+    """Languages and matrix (2**BITS, languages) of log-probabilities."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
         for frame in frames:
             for lang, own in frame.groupby("lang"):
-                total[lang] = total.get(lang, 0) + counts(list(own["text"]))
+                total[lang] = total.get(lang, 0) + sum(map(counts, own["text"]))
         for lang, n in total.items():
             at = np.nonzero(n)[0]
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": n[at]})
@@ -93,31 +77,24 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", alp
     matrix = np.zeros((1 << BITS, len(langs)))
     matrix[got["bucket"].to_numpy(dtype=np.int64), got["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(dtype=np.int64)] = got["n"]
     logs = np.log((matrix + alpha) / (matrix.sum(axis=0) + alpha * len(matrix)))
-    return langs, np.vstack([logs, np.zeros((1, len(langs)))]).astype(np.float32)
+    return langs, logs.astype(np.float32)
 
 
 def predict(texts: list[str | None], langs: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
-    texts = [t or "" for t in texts]
     out, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    if not langs:
+    some = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if langs else []
+    if not some:
         return out, score
-    for part in _chunks(texts):
-        part = [i for i in part if any(map(str.isalpha, texts[i]))]
-        if not part:
-            continue
-        c, starts, ends = _arrays([texts[i] for i in part])
-        total, n = np.zeros((len(part), len(langs))), np.zeros(len(part))
-        for bucket in _grams(c, ends):
-            rows = matrix[bucket]
-            inside = starts < len(bucket)
-            total[inside] += np.add.reduceat(rows, starts[inside], axis=0)
-            n[inside] += np.add.reduceat((bucket < 1 << BITS).astype(np.int64), starts[inside])
-        logits = total * (np.minimum(n, EFFECTIVE) / np.maximum(n, 1))[:, None]
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        best = p.argmax(axis=1)
-        for i, k, row in zip(part, best, p, strict=True):
-            out[i], score[i] = langs[k], row[k]
+    total, n = np.zeros((len(some), len(langs))), np.zeros(len(some))
+    for row, i in enumerate(some):
+        found = counts(texts[i])
+        at = np.flatnonzero(found)
+        total[row], n[row] = found[at] @ matrix[at], found[at].sum()
+    logits = total * (np.minimum(n, EFFECTIVE) / np.maximum(n, 1))[:, None]
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    for i, k, row in zip(some, p.argmax(axis=1), p, strict=True):
+        out[i], score[i] = langs[k], row[k]
     return out, score
 
 
