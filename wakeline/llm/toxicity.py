@@ -10,8 +10,9 @@ Features are hashed 5- and 6-grams of the lower-cased text, in which every ASCII
 a space; present or absent.  Kept are those that enough positives hold and that are at least ``LIFT`` times
 as frequent there as in the unlabelled texts, and more frequent by ``SIGMAS`` standard deviations.
 
-The fit takes about ``max_positive`` and ``max_unlabelled`` documents, chosen by the hash of the id, so it
-broadcasts bounded tables; whole texts of all documents are scored.  Null and empty texts are scored as texts
+The gradient takes about ``max_positive`` and ``max_unlabelled`` documents, chosen by the hash of the id.  A first
+screening of the features, at half of ``LIFT`` and ``SIGMAS``, is a join over these; what passes is counted over all
+unlabelled texts.  Whole texts of all documents are scored.  Null and empty texts are scored as texts
 without features.  Without positives or without features the score is the prior.  Repeated rows are scored
 alike, a document with contradictory labels counts under each, an empty table gives no rows, other columns
 are ignored.
@@ -108,7 +109,7 @@ def _share(n: int, most: int):
 def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabelled: int) -> tuple[np.ndarray, np.ndarray, float]:
     """(hashes of the features, weights with the intercept last, class prior); docs and labels to learn from."""
     totals = labels.agg(F.count_if(F.col("toxic") == 1).alias("p"), F.count_if(F.col("toxic") == 0).alias("n")).first()
-    prior = min(max(totals.p / (totals.p + totals.n), 1e-4), 0.5) if totals.p else 1e-4
+    prior = min(max(totals.p / (totals.p + totals.n), 1e-4), 1 - 1e-4) if totals.p else 1e-4
     none = np.zeros(0, dtype=np.uint32), np.array([np.log(prior / (1 - prior))]), prior
     free = docs.select("doc_id").where("doc_id is not null").join(labels.select("doc_id"), "doc_id", "left_anti")
     free = scratch.cut(free, "unlabelled")
@@ -125,8 +126,17 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, max_positive: int,
 
     held = sample.where("y = 1").select(F.explode(F.pandas_udf(whole, "array<int>")("text")).alias("h")).groupBy("h").agg(F.count("*").alias("c"))
     n_p = sample.where("y = 1").count()
-    held = held.where(F.col("c") >= max(4, round(0.004 * n_p))).toPandas().sort_values("h")
-    hashes = np.sort(held["h"].to_numpy(dtype=np.int32).view(np.uint32))
+    n_u = sample.where("y = 0").count()
+    if not n_p or not n_u:
+        return none
+    held = held.where(F.col("c") >= max(4, round(0.004 * n_p)))
+    beside = sample.where("y = 0").select(F.explode(F.pandas_udf(whole, "array<int>")("text")).alias("h")).groupBy("h").agg(F.count("*").alias("u"))
+    in_p, in_u = F.col("c") / n_p, F.coalesce("u", F.lit(0)) / n_u
+    smooth = (F.coalesce("u", F.lit(0)) + 1) / (n_u + 2)
+    held = held.join(beside, "h", "left").where((in_p >= LIFT / 2 * in_u) & (in_p - smooth >= SIGMAS / 2 * F.sqrt(smooth / n_p)))
+    held = held.select("h", "c").toPandas()
+    held = held.assign(h=held["h"].to_numpy(dtype=np.int32).view(np.uint32)).sort_values("h")
+    hashes = held["h"].to_numpy()
     if not len(hashes):
         return none
     sent = docs.sparkSession.sparkContext.broadcast(hashes)
@@ -135,14 +145,11 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, max_positive: int,
         lookup = Lookup(sent.value)
         return pd.Series([lookup.find(t or "").astype(np.int32) for t in texts])
 
-    n_u = sample.where("y = 0").count()
-    if not n_u:
-        return none
-    common = sample.where("y = 0").select(F.explode(F.pandas_udf(known, "array<int>")("text")).alias("at")).groupBy("at").agg(F.count("*").alias("c")).toPandas()
-    in_p, in_u = np.zeros(len(hashes)), np.zeros(len(hashes))
-    in_p[np.searchsorted(hashes, held["h"].to_numpy(dtype=np.int32).view(np.uint32))] = held["c"] / n_p
-    in_u[common["at"].to_numpy(dtype=np.int64)] = common["c"] / n_u
-    smooth = (in_u * n_u + 1) / (n_u + 2)
+    every = docs.join(free.withColumnRenamed("doc_id", "_free"), F.col("doc_id") == F.col("_free"), "left_semi")
+    common = every.select(F.explode(F.pandas_udf(known, "array<int>")("text")).alias("at")).groupBy("at").agg(F.count("*").alias("c")).toPandas()
+    in_p, in_u = held["c"].to_numpy() / n_p, np.zeros(len(hashes))
+    in_u[common["at"].to_numpy(dtype=np.int64)] = common["c"] / n_free
+    smooth = (in_u * n_free + 1) / (n_free + 2)
     keep = np.flatnonzero((in_p >= LIFT * in_u) & (in_p - smooth >= SIGMAS * np.sqrt(smooth / n_p)))
     if not len(keep):
         return none
