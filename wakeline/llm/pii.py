@@ -23,6 +23,7 @@ from bisect import bisect_left, bisect_right
 from itertools import islice
 
 import pandas as pd
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,8 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TERM = re.compile(r"[^\W\d_]+")
+# The same letters as those of ``_terms``, which takes the corpus apart in the engine.
+_TERM = regex.compile(r"\p{L}+")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -149,7 +151,7 @@ def _everywhere(texts: pd.Series, bases: pd.Series, terms: pd.Series) -> pd.Seri
 
 
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))
+    return F.array_distinct(F.split(text, r"[^\p{L}]+"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT, discloses: float = DISCLOSES) -> DataFrame:
@@ -174,7 +176,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_su
     if not support.isEmpty():
         wanted = scratch.cut(support.select("term").distinct(), "wanted")
         wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST else wanted
-        texts = docs.select(F.xxhash64(text_col).alias("h"), F.explode(_terms(F.col(text_col))).alias("term"))
+        texts = docs.select(F.xxhash64(text_col).alias("h"), F.explode(_terms(F.col(text_col))).alias("term")).withColumn("term", F.lower("term"))
         held = texts.join(wanted, "term").distinct().groupBy("term").agg(F.count("*").alias("d"))
         flagged = scratch.cut(support.join(held, "term").where(share).select("entity", "term"), "flagged")
     if flagged is None:
