@@ -5,17 +5,18 @@ weights in turn and share ``budget`` times all sizes; a target stops at ``most``
 the excess is reshared by weight until none is above.
 
 Rates: of all rates between 0 and ``most`` that meet each source's token constraint, those of least relative
-entropy to uniform rates: rate = most * sigmoid(tilt * size / scale), an exponential tilt bounded at ``most``.
+entropy, of copies taken and of copies left, to uniform rates: rate = most * sigmoid(tilt * size / scale).  The odds
+are an exponential tilt of the size, which keeps rates below ``most`` where a plain one would have to be cut.
 The dual in the tilts is convex and separates by source; Newton iterations, safeguarded by bisection, solve
 it.  Each is one distributed aggregate over the (source, size) counts, which documents enter only once.
 
 Copies: documents of one (source, size) cell have one rate, and get whole copies that sum to the cell's
 share; the fractions left are settled per source from the largest size down, so that a source ends within
 about its smallest size of its target.  Which documents of a cell get the odd copies follows from a hash of
-the id, ranked within shares of a cell of about ``SHARE`` documents each.
+id and text, ranked within shares of a cell of about ``SHARE`` documents each.
 
-A source without words has target and taken 0.  Repeated rows count one by one.  The result is the same at
-every run; an empty table gives no rows; other columns are ignored unless asked for.
+A source without words has target and taken 0.  Repeated rows count one by one; which of them get odd copies goes by
+``extra`` columns too.  Tilts that do not settle are an error.  The result is the same at every run; an empty table gives no rows; other columns are ignored unless asked for.
 """
 
 import numpy as np
@@ -82,6 +83,8 @@ def tilts(scratch: Scratch, cells: DataFrame, sources: DataFrame, most: float =
         worst = state.agg(F.max("off")).first()[0]
         if worst is None or worst <= tolerance:
             break
+    else:
+        raise RuntimeError(f"tilts did not settle: a source is off its target by a share of {worst}")
     return state.select("source", "tilt", "scale")
 
 
@@ -103,7 +106,7 @@ def settle(cells: pd.DataFrame) -> pd.DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken, and ``extra`` columns of the documents."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), *(F.col(c).alias(f"_x_{c}") for c in extra))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(id_col, text_col).alias("h"), *(F.col(c).alias(f"_x_{c}") for c in extra))
     own = scratch.cut(own, "sizes")
     cells = scratch.cut(own.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
     sources = scratch.cut(targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, budget), "targets")
@@ -124,8 +127,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     doc = own.alias("d").join(number.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_no", "s.source_size", "s.target")
     doc = doc.withColumnRenamed("source", "_source").withColumnRenamed("source_no", "source").join(copies, ["source", "size"])
-    # Every document of a cell gets copies div n; the odd ones go by hash, dealt to the cell's parts.
-    doc = doc.withColumn("h", F.xxhash64("doc_id")).withColumn("parts", F.greatest(F.expr(f"n div {SHARE}"), F.lit(1)))
+    # Every document of a cell gets copies div n; the odd ones go by the hash of id and text, dealt to the cell's parts.
+    doc = doc.withColumn("parts", F.greatest(F.expr(f"n div {SHARE}"), F.lit(1)))
     doc = doc.withColumn("part", F.pmod(F.col("h"), F.col("parts")))
     held = doc.where("parts > 1").groupBy("source", "size", "part").agg(F.count("*").alias("m"), F.first("n").alias("n"), F.first("copies").alias("copies"))
     upto = Window.partitionBy("source", "size").orderBy("part")
@@ -133,7 +136,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     dealt = dealt.select("source", "size", "part", F.expr("(to * odd) div n - ((to - m) * odd) div n").alias("odd_here"))
     doc = doc.join(dealt, ["source", "size", "part"], "left")
     odd = F.coalesce("odd_here", F.expr("copies - (copies div n) * n"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("h", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("h", "doc_id", *([F.xxhash64(*(F.col(f"_x_{c}") for c in extra))] if extra else [])))
     doc = doc.withColumn("copies", F.expr("copies div n") + F.when(rank <= odd, 1).otherwise(0))
     return doc.select("doc_id", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), *(F.col(f"_x_{c}").alias(c) for c in extra))
 
