@@ -11,7 +11,8 @@ backslash put after its first character, one more than it had, and so is not one
 takes it off.  Roles are escaped alike, and their backslashes and newlines besides.  The loss mask covers
 the texts of the assistant's turns, as code points of the formatted text.
 
-A null role or text is empty.  Messages whose parent does not exist are roots; messages on a cycle have no
+A null role or text is empty.  A node is one message: of rows that repeat it, the least by parent, score, role and
+text counts.  Messages whose parent does not exist are roots; messages on a cycle have no
 root and are left out.  Rows of ``conversations`` follow by turn (null first), ties by role and text; rows
 without a conv_id form one conversation; an empty table gives no rows; other columns are ignored.
 """
@@ -101,7 +102,8 @@ def best_paths(scratch: Scratch, nodes: DataFrame, paths: int = 1) -> DataFrame:
 def format_trees(messages: DataFrame, paths: int = 1) -> DataFrame:
     """``messages(tree, node, parent, role, text, score)`` to (tree, leaf, formatted, loss_mask)."""
     scratch = Scratch(messages.sparkSession, "chat")
-    messages = scratch.cut(messages, "messages")
+    once = messages.groupBy("tree", "node").agg(F.min(F.struct("parent", "score", "role", "text")).alias("m"))
+    messages = scratch.cut(once.select("tree", "node", "m.*"), "messages")
     picked = best_paths(scratch, messages.select("tree", "node", "parent", "score"), paths)
     turns = picked.join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
     turns = turns.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
@@ -149,9 +151,9 @@ WITH rows AS (
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
 sized AS (
   SELECT *, len(text) + len(regexp_extract_all(text, '<\\*\|im_start\|>|<\\*\|im_end\|>|<\\*\|endoftext\|>|<\\*s>|<\\*/s>|\[\\*INST\]|\[\\*/INST\]|<\\*<SYS>>|<\\*</SYS>>')) AS n FROM rows)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(len(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(12 + len(role) + 1 + n + 11) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
