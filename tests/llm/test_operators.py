@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -137,6 +138,63 @@ def test_pii_base():
     pii.base_spans("1" * 200_000 + "a" * 200_000)
 
 
+def test_pii_base_by_plain_patterns():
+    """Against the four patterns as they are written."""
+    rng, plain = random.Random(14), {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    bits = list("0123456789 .-+@()a%") + ["4111 1111 1111 1111", "a@b.co", "1.2.3.4", "+49 170 123", "é", "00255", "::"]
+    for _ in range(8000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randrange(30)))
+        want = []
+        for kind, pattern in plain.items():
+            for m in re.finditer(pattern, t):
+                digits = re.sub("[^0-9]", "", m[0])
+                good = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else 0, "card": 12 <= len(digits) <= 19 and pii.luhn(digits or "0"), "phone": 9 <= len(digits) <= 15}
+                if good[kind]:
+                    want.append((m.start(), kind, m.end()))
+        assert [(a, k, b) for a, k, b, _ in pii.base_spans(t)] == sorted(want, key=lambda x: (x[0], pii.KINDS.index(x[1]))), t
+
+
+def test_pii_terms_by_counting(spark):
+    """Spans of terms against counts made text by text; letters only the one language calls letters, and odd cases, included."""
+    rng = random.Random(15)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60)] + ["m²", "x½y", "Straße", "ΣΑΣ", "İz", "o'neil", "a1b"]
+    who = ["ann@x.org", "bob@y.org", "+49 170 1234567", "10.0.0.7"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 30)) + ([rng.choice(who), *rng.choices(words, k=3)] if i % 4 == 0 else [])) for i in range(160)]
+    texts += ["solo@z.org Zorro m² zorro", "Zebra İzzet one@z.org x½y ΟΔΟΣ", "10.9.8.7 quagga ZEBRA Quagga o'quagga", "x ZORRO y", *texts[:5], None, ""]
+    terms = lambda t: list(regex.finditer(r"\p{L}+", t))
+    distinct, c, e, d = {t for t in texts if t is not None}, {}, {}, {}
+    for t in distinct:
+        for w in {m[0].lower() for m in terms(t)}:
+            d[w] = d.get(w, 0) + 1
+        spans = pii.base_spans(t)
+        for x in {(k, v) for _, k, _, v in spans}:
+            e[x] = e.get(x, 0) + 1
+        free = [m for m in terms(t) if not any(m.start() < b and m.end() > a for a, _, b, _ in spans)]
+        near = set()
+        for a, k, b, v in spans:
+            near |= {((k, v), m[0].lower()) for m in [m for m in free if m.end() <= a][-pii.REACH :] + [m for m in free if m.start() >= b][: pii.REACH]}
+        for x in near:
+            c[x] = c.get(x, 0) + 1
+    n = len(distinct)
+    flagged = set()
+    for (x, w), k in c.items():
+        if n > e[x] and k >= min(pii.MIN_SUPPORT, e[x]):
+            seen = d[w] + (pii.SMOOTH if k < pii.MIN_SUPPORT else 0)
+            if np.log2(k * n / (seen * e[x])) >= pii.DISCLOSES * np.log2(n / e[x]):
+                flagged.add((x, w))
+    got = {r.doc_id: r.spans for r in pii.report(pii.find(docs(spark, texts))).collect()}
+    found = 0
+    for i, t in enumerate(texts):
+        spans = pii.base_spans(t or "")
+        mine = {w for x, w in flagged if x in {(k, v) for _, k, _, v in spans}}
+        want = [(a, k, b) for a, k, b, _ in spans] + [(m.start(), "term", m.end()) for m in terms(t or "") if m[0].lower() in mine and not any(m.start() < b and m.end() > a for a, _, b, _ in spans)]
+        found += len(want) - len(spans)
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(want, key=lambda s: (s[0], (*pii.KINDS, "term").index(s[1])))), t
+    assert found >= 5
+
+
 def test_pii_context():
     """Terms beside mentions, against a scan of the whole text; as many mentions as you like change nothing."""
     rng = random.Random(3)
@@ -146,7 +204,7 @@ def test_pii_context():
         spans, free = pii.base_spans(t), list(t)
         for a, _, b, _ in spans:
             free[a:b] = "\0" * (b - a)
-        terms = [m.span() for m in re.finditer(r"[^\W\d_]+", "".join(free))]
+        terms = [m.span() for m in pii._TERM.finditer("".join(free))]
         want = set()
         for a, kind, b, value in spans:
             near = [x for x in terms if x[1] <= a][-pii.REACH :] + [x for x in terms if x[0] >= b][: pii.REACH]
@@ -215,6 +273,29 @@ def test_mixing(spark):
         assert target[s] == pytest.approx(want[s]) and abs(taken[s] - target[s]) <= 2
 
 
+def test_mixing_rates(spark):
+    """Expected copies against the dual solved alone by bisection; shared and missing ids do not meet in one place."""
+    rng = random.Random(16)
+    rows = [(None if i % 3 == 0 else i % 5, "w " * rng.randint(1, 60), rng.choice("ab"), f"x{i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, note string")
+    got = mixing.mix(df, extra=("note",)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(df.orderBy("note").repartition(3), extra=("note",)).collect()))
+    sizes = {}
+    note = {r[3]: r[2] for r in rows}
+    for r in got:
+        sizes.setdefault(note[r.note], []).append((r["size"], r.copies, r.target))
+    for own in sizes.values():
+        s, copies, target = np.array([x[0] for x in own], float), np.array([x[1] for x in own]), own[0][2]
+        lo, hi = -200.0, 200.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            rate = 2 / (1 + np.exp(-np.clip(mid * s / s.max(), -700, 700)))
+            lo, hi = (mid, hi) if (rate * s).sum() < target else (lo, mid)
+        for size in set(s):
+            at = s == size
+            assert abs(copies[at].sum() - rate[at].sum()) <= 1.6
+
+
 def test_chat_round_trip():
     turns = [("user", "</s>[INST] ok [/INST]"), ("assistant", "<\\/s><<SYS>>\\<|im_end|>\n<\\\\|im_start|>"), ("odd\nro\\le", ""), ("", "[[INST]<s<s>")]
     text, mask = chat.render(turns)
@@ -235,6 +316,21 @@ def test_chat_trees(spark):
     assert got == {"t": [("user", "q"), ("assistant", "good"), ("user", "more")], "u": [("user", "")], "long": [("user", str(i)) for i in range(40)]}
 
 
+def test_chat_repeated_messages(spark):
+    rows = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "a", 0.5), ("t", 2, 1, "assistant", "a", 0.5), ("t", 3, 2, "user", "b", 0.1), ("t", 3, 2, "user", "c", 0.1), (None, 1, None, "user", "n", None)]
+    df = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double").withColumns({c: F.lit("z") for c in ("leaf", "place", "up", "m", "formatted")})
+    got = sorted(chat.parse(r.formatted) for r in chat.format_trees(df).collect())
+    assert [("user", "q"), ("assistant", "a"), ("user", "b")] in got and len(got) <= 2
+
+
+def test_chat_rows(spark):
+    """Repeated turns, null ids, texts and turns, clashing columns, a very long text."""
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "assistant", None), (None, 0, "user", "x" * 300_000), (None, 1, "assistant", "</s>"), (2, 0, None, "t")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("z") for c in ("node", "tree", "score", "parent")})
+    got = {r.tree: chat.parse(r.formatted) for r in chat.format_trees(chat.from_turns(df)).collect()}
+    assert got == {"1": [("assistant", ""), ("user", "a"), ("user", "a")], "null": [("user", "x" * 300_000), ("assistant", "</s>")], "2": [("", "t")]}
+
+
 def test_topk_brute(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(0, 0.2, (600, 8)).astype(np.float32)
@@ -271,6 +367,72 @@ def test_language(spark):
     assert none.lang_pred == "und"
 
 
+def test_language_by_dense_bayes(spark):
+    """Scores against a naive Bayes that loops over all n-grams of all texts; pieces of a long text count as the whole."""
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("abcdeé ,1ß") for _ in range(rng.randrange(1, 60))) for _ in range(60)] + ["x", "ab", "É"]
+    rows = [(i, t, rng.choice(["p", "q", "r"])) for i, t in enumerate(texts)]
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+
+    def buckets(text):
+        c = [x if x >= 128 or 97 <= x <= 122 else 32 for x in map(ord, text.lower())]
+        for i in range(len(c)):
+            h = 0
+            for n in range(min(3, len(c) - i)):
+                h = (h * 0x01000193 + c[i + n] * 2654435761 + n + 1) % 2**32
+                yield ((h ^ (h >> 15)) * 2246822519 % 2**32) >> 18
+
+    langs = sorted({r[2] for r in learned})
+    n = np.zeros((1 << 14, len(langs)))
+    for _, t, lang in learned:
+        for b in buckets(t):
+            n[b, langs.index(lang)] += 1
+    logs = np.log((n + 0.05) / (n.sum(axis=0) + 0.05 * len(n)))
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, t, _ in rows:
+        own = list(buckets(t))
+        z = logs[own].sum(axis=0) * min(len(own), langid.EFFECTIVE) / len(own)
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        if any(map(str.isalpha, t)):
+            assert got[i].score == pytest.approx(p.max(), abs=1e-4)
+            assert got[i].lang_pred == langs[p.argmax()] or np.sort(p)[-1] - np.sort(p)[-2] < 1e-4
+    whole = langid.counts(texts[0] * 40)
+    langid.CHUNK, kept = 17, langid.CHUNK
+    assert (langid.counts(texts[0] * 40) == whole).all()
+    langid.CHUNK = kept
+
+
+def test_risk_gradient():
+    """The fitted weights against the same descent on dense matrices; both sides of the bracket's zero occur."""
+    rng = np.random.default_rng(3)
+    rows = [[np.flatnonzero(rng.random(12) < q) for _ in range(n)] for q, n in ((0.5, 20), (0.2, 60))]
+    p, u = (toxicity.Sparse(r, 12) for r in rows)
+    dense = [np.array([np.isin(np.arange(13), np.append(x, 12)) for x in r], dtype=float) for r in rows]
+    prior, w, m, v, signs = 0.4, np.zeros(13), np.zeros(13), np.zeros(13), set()
+    w[-1] = np.log(prior / (1 - prior))
+    for t in range(1, 301):
+        zp, zu = dense[0] @ w, dense[1] @ w
+        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+        bracket = np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
+        grad = dense[1].T @ su / 60 - prior * dense[0].T @ sp / 20
+        signs.add(bracket >= 0)
+        g = grad + prior * dense[0].T @ (sp - 1) / 20 if bracket >= 0 else -grad
+        g[:-1] += 2e-4 * w[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    assert toxicity.fit_risk(p, u, prior, steps=300) == pytest.approx(w, abs=1e-6)
+
+
+def test_toxicity_rows(spark):
+    """Empty tables, repeated rows, null ids, contradictory labels, clashing columns, a very long text."""
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    rows = [(1, "bad words here"), (1, "bad words here"), (None, "bad words here"), (2, None), (3, "long " * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("z") for c in ("y", "h", "x", "at", "score", "toxic")})
+    got = toxicity.score(df, labels).collect()
+    assert len(got) == 5 and len({r.score for r in got if r.doc_id == 1}) == 1 and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.score(df.where("false"), labels).count() == 0 == toxicity.score(df.where("false"), labels.where("false")).count()
+
+
 def test_toxicity(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
@@ -299,6 +461,30 @@ def test_html():
         assert s[lo:hi].sum() == pytest.approx(max(0, max(s[a:b].sum() for a in range(12) for b in range(a + 1, 13))))
 
 
+def test_html_without_marks(spark):
+    """The learned scan finds the same text when pages do not mark their article; broken and deep pages take linear time."""
+    import time
+
+    pages = [r.html or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    model = htmltext.fit(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string"), 1000)
+    plain = [re.sub(r"(?i)</?(article|main)\b[^>]*>", "", p) for p in pages]
+    same = sum(htmltext.extract(a, model) == htmltext.extract(b, model) for a, b in zip(pages, plain, strict=True))
+    assert same >= 0.97 * len(pages) and sum(bool(htmltext.extract(p, model)) for p in plain) >= 0.97 * len(pages)
+    for page in ("<div>" * 100_000, "<a" * 100_000, "<b>" * 50_000 + "<h1>" * 50_000, "<p><b>" * 50_000 + "</i>" * 50_000, "<!--" * 50_000, "<script " * 50_000):
+        began = time.time()
+        htmltext.extract(page + "x", model)
+        assert time.time() - began < 10
+    assert htmltext.extract("<p>a<!-- b <p>c", {"w:p": 1.0}) == "a" and htmltext.extract("<p>a <b>b < c <a", {"w:p": 1.0, "w:b": 1.0}) == "a b < c <a"
+
+
+def test_html_rows(spark):
+    """Repeated rows, a null id, clashing columns, very long pages."""
+    rows = [(1, "<article><p>one two three</p></article>"), (1, "<article><p>one two three</p></article>"), (None, "<p>four five"), (2, None), (3, ""), (4, "<p>" + "w " * 200_000), (5, "no markup")]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumns({c: F.lit("z") for c in ("text", "kind", "inside", "outside")})
+    got = sorted((r.page_id or 0, len(r.text)) for r in htmltext.main_text(df).collect())
+    assert got == [(0, 9), (1, 13), (1, 13), (2, 0), (3, 0), (4, 399_999), (5, 9)]
+
+
 def test_urls(spark):
     urls = ["https://WWW.Example.com/en/1?x", "http://a.example.com/en/2#t", "http://x.net/es/1", "http://x.net/de/1", "http://b.com", "nothing", None, "http://notexample.com/en/"]
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
