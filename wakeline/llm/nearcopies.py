@@ -11,10 +11,11 @@ the count is near half in both texts, so only the ``WEAK`` most even bits of a s
 A segment has four bits more than numbers the texts, ``BITS`` at least, so chance meetings stay in proportion to
 the texts whatever their number; the segments needed for the same recall follow from that.
 
-Texts with the same set are one from the start.  A variant that two share is a pair.  One that more share is
-no all-pairs group: its texts are counted before any shuffle of them, up to ``CROWD`` are compared with each
-other, and in larger ones all with the first and the last; the similar ones go, and the rest is taken again,
-until nothing goes; what is left then, texts alike in a segment and not in their sets, is compared in full.
+Texts with the same set are one from the start.  Segments that are wholly equal come first: most copies meet in
+one, and those that go do not crowd the variants.  A key that two or three share, which counting them tells
+before any shuffle of texts, gives pairs.  One that more share is no all-pairs group: up to ``CROWD`` are compared
+with each other, and in larger ones all with the first and the last; the similar ones go, and the rest is taken
+again, until nothing goes; what is left then, texts alike in a segment and not in their sets, is compared in full.
 """
 
 import math
@@ -111,6 +112,13 @@ def _prints(docs: DataFrame, width: int, segments: int, bits: int, weak: int) ->
     return docs.select("row", "id", "alone", made.alias("p")).select("row", "id", "alone", "p.*")
 
 
+def _wholes(prints: DataFrame, bits: int) -> DataFrame:
+    """(key, row): each segment.  Rows that are ``alone`` have keys of their own."""
+    each = prints.select("row", "alone", F.posexplode("segs").alias("t", "s"))
+    key = f"(shiftleft(cast(t as bigint), 32) | (s & {(1 << bits) - 1}))"
+    return each.select(F.expr(f"if(alone, ~{key}, {key})").alias("key"), "row")
+
+
 def _variants(prints: DataFrame, bits: int, weak: int) -> DataFrame:
     """(key, row): each segment without one bit.  Rows that are ``alone`` have keys of their own."""
     each = prints.select("row", "alone", F.posexplode("segs").alias("t", "s"))
@@ -121,8 +129,9 @@ def _variants(prints: DataFrame, bits: int, weak: int) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """(key, c, a, b): the keys that more than one row has, how many, the first and the last of them."""
-    return rows.groupBy("key").agg(F.count("*").alias("c"), F.min("row").alias("a"), F.max("row").alias("b")).where("c > 1")
+    """(key, c, a, b, x): the keys that more than one row has, how many, the first, the last, and the third of three."""
+    own = rows.groupBy("key").agg(F.count("*").alias("c"), F.min("row").alias("a"), F.max("row").alias("b"), F.bit_xor("row").alias("x"))
+    return own.where("c > 1").select("key", "c", "a", "b", F.expr("if(c = 3, x ^ a ^ b, a)").alias("x"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, width: int, least: float) -> DataFrame:
@@ -153,8 +162,9 @@ def survivors(docs: DataFrame, width: int = WIDTH, least: float = LEAST, recall:
     """The column ``row`` of the rows that stay: of each group of similar rows, the one with the smallest id.
 
     ``docs`` has ``row``, a number that rows of one id and text share, ``id``, ``text``, and ``alone``, which tells
-    two parts of the rows; rows of different parts are not compared.  Groups are closed under similarity.  Texts
-    without a word are alike.  An empty table gives no rows.
+    two parts of the rows; rows of different parts are not compared.  Groups are closed under similarity; of a
+    group that comes together in steps, the later ones see only the rows that are left.  Texts without a word
+    are alike.  An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "nearcopies")
     segments, bits, weak = shape(docs.count(), least, recall)
@@ -162,29 +172,49 @@ def survivors(docs: DataFrame, width: int = WIDTH, least: float = LEAST, recall:
     first = prints.groupBy("alone", "digest").agg(F.min(F.struct(F.isnull("id"), "id", "row")).alias("s")).select("s.row")
     alive = scratch.cut(prints.join(first, "row", "left_semi").dropDuplicates(["row"]), "distinct")
     named = alive.select("row", "id")
-    size = alive.select("row", "n", "w")
+    size = alive.select("row", F.struct("n", "w").alias("p"))
     close = _close(least)
 
-    rows, gone, full = _variants(alive, bits, weak), None, False
-    while True:
-        shared = scratch.cut(_shared(rows), "shared")
-        two = shared.where("c = 2").selectExpr("a as u", "b as v").distinct()
-        ends = [size.select(F.col("row").alias(x), F.struct("n", "w").alias(f"p{x}")) for x in ("u", "v")]
-        two = two.join(ends[0], "u").join(ends[1], "v").where(close("pu", "pv")).select("u", "v")
-        crowds = shared.where("c > 2")
-        crowd = scratch.cut(rows.join(crowds, "key").join(size, "row"), "crowd")
-        few = crowd if full else crowd.where(f"c <= {CROWD}")
-        met = few.alias("x").join(few.alias("y"), F.expr(f"x.key = y.key and x.row < y.row and {close('x', 'y')}")).selectExpr("x.row as u", "y.row as v")
-        many = crowd.where("false" if full else f"c > {CROWD}")
-        stars = many.select("row", F.struct("n", "w").alias("p"), F.explode(F.array("a", "b")).alias("o")).where("row <> o").distinct()
-        stars = stars.join(size.select(F.col("row").alias("o"), F.struct("n", "w").alias("q")), "o").where(close("p", "q"))
-        pairs = two.union(met).union(stars.selectExpr("least(o, row)", "greatest(o, row)")).distinct()
+    def met(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (u, v), once each, those that are close."""
+        ends = [size.select(F.col("row").alias(e), F.col("p").alias(f"p{e}")) for e in ("u", "v")]
+        pairs = pairs.where("u <> v").selectExpr("least(u, v) as u", "greatest(u, v) as v").distinct()
+        return pairs.join(ends[0], "u").join(ends[1], "v").where(close("pu", "pv")).select("u", "v")
+
+    def go(pairs: DataFrame) -> DataFrame:
+        """The rows that go, given all close pairs."""
         similar = _verified(docs, scratch.cut(pairs, "pairs"), scratch, width, least)
         roots = scratch.cut(components(scratch, similar).join(named.withColumnRenamed("row", "node"), "node"), "roots")
         stay = roots.groupBy("root").agg(F.min(F.struct(F.isnull("id"), "id", "node")).alias("s")).select("s.node")
-        found = scratch.cut(roots.join(stay, "node", "left_anti").select(F.col("node").alias("row")), "found")
-        gone = found if gone is None else gone.union(found)
+        return scratch.cut(roots.join(stay, "node", "left_anti").select(F.col("node").alias("row")), "found")
+
+    def few(shared: DataFrame) -> DataFrame:
+        return shared.where("c <= 3").select(F.explode(F.array(*(F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in ("ab", "ax", "xb")))).alias("e")).select("e.*")
+
+    def stars(crowd: DataFrame) -> DataFrame:
+        return crowd.select(F.col("row").alias("u"), F.explode(F.array("a", "b")).alias("v"))
+
+    rows = _wholes(alive, bits)
+    shared = scratch.cut(_shared(rows), "shared")
+    crowd = scratch.cut(rows.join(shared.where("c > 3"), "key").select("row", "a", "b"), "crowd")
+    gone = go(met(few(shared).union(stars(crowd))))
+    went = [gone]
+
+    rows, full = _variants(alive.join(gone, "row", "left_anti"), bits, weak), False
+    while True:
+        shared = scratch.cut(_shared(rows), "shared")
+        crowd = scratch.cut(rows.join(shared.where("c > 3"), "key").drop("x"), "crowd")
+        small = crowd if full else crowd.where(f"c <= {CROWD}")
+        small = scratch.cut(small.join(size, "row").select("key", "row", "p"), "small")
+        pairs = small.alias("s").join(small.alias("t"), F.expr(f"s.key = t.key and s.row < t.row and {close('s.p', 't.p')}")).selectExpr("s.row as u", "t.row as v")
+        many = crowd.where("false" if full else f"c > {CROWD}")
+        found = go(met(few(shared).union(stars(many))).union(pairs).distinct())
+        went.append(found)
         if full or many.isEmpty():
-            return alive.select("row").join(gone, "row", "left_anti")
+            break
         full = found.isEmpty()
         rows = scratch.cut(many.select("key", "row").join(found, "row", "left_anti"), "rest")
+    out = alive.select("row")
+    for rows in went:
+        out = out.join(rows, "row", "left_anti")
+    return out
