@@ -145,8 +145,10 @@ def fit(scratch: Scratch, docs: DataFrame, labels: DataFrame, max_positive: int,
         lookup = Lookup(sent.value)
         return pd.Series([lookup.find(t or "").astype(np.int32) for t in texts])
 
-    every = docs.join(free.withColumnRenamed("doc_id", "_free"), F.col("doc_id") == F.col("_free"), "left_semi")
-    common = every.select(F.explode(F.pandas_udf(known, "array<int>")("text")).alias("at")).groupBy("at").agg(F.count("*").alias("c")).toPandas()
+    # Texts become positions before the unlabelled ones are told by a join, so that no text is shuffled.
+    every = docs.select("doc_id", F.pandas_udf(known, "array<int>")("text").alias("found")).where("size(found) > 0")
+    every = every.join(free.withColumnRenamed("doc_id", "_free"), F.col("doc_id") == F.col("_free"), "left_semi")
+    common = every.select(F.explode("found").alias("at")).groupBy("at").agg(F.count("*").alias("c")).toPandas()
     in_p, in_u = held["c"].to_numpy() / n_p, np.zeros(len(hashes))
     in_u[common["at"].to_numpy(dtype=np.int64)] = common["c"] / n_free
     smooth = (in_u * n_free + 1) / (n_free + 2)
