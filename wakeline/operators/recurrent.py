@@ -2,13 +2,14 @@
 
 ``fit_windows`` learns one value per window from the layer's last state; ``fit_sequences`` one value per step
 of padded sequences, whose padding steps change no state and count in no loss.  Both train with Adam on the
-mean squared error, the last fifth of the sequences validating.  Targets are standardised inside the model;
-predictions are in the target's unit.
+mean squared error, the last fifth of the sequences validating.  Features and targets are standardised inside
+the model, by the training steps; predictions are in the target's unit.
 
 Training happens on the driver, on about ``max_rows`` sequences chosen by a hash of their key, so it needs
 bounded memory; prediction is distributed, with the weights (some 100 kB) broadcast.
 """
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,8 +72,11 @@ class Recurrent:
     mean: float
     scale: float
     history: list[tuple[int, float, float, float, float]]
+    x_mean: np.ndarray | float = 0.0
+    x_scale: np.ndarray | float = 1.0
 
     def _raw(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+        x = (x - self.x_mean) / self.x_scale
         states, tape = forward(self.params, x, mask)
         used = states if self.every_step else states[-1:]
         return (used @ self.params["wo"] + self.params["bo"]).T, states, tape
@@ -80,6 +84,7 @@ class Recurrent:
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Loss and gradients for standardised targets (rows, steps), or (rows, 1) for the last state."""
         out, states, tape = self._raw(x, mask)
+        x = (x - self.x_mean) / self.x_scale
         counts = mask if self.every_step else np.ones_like(out, dtype=bool)
         n = max(int(counts.sum()), 1)
         error = np.where(counts, out - y, 0.0)
@@ -108,6 +113,10 @@ def train(x: np.ndarray, mask: np.ndarray, y: np.ndarray, every_step: bool, unit
     known = y[:cut][mask[:cut]] if every_step else y[:cut]
     mean, scale = (float(known.mean()), float(known.std()) or 1.0) if known.size else (0.0, 1.0)
     model = Recurrent(initial(x.shape[2], units, seed), every_step, mean, scale, [])
+    seen = x[:cut][mask[:cut]]
+    if len(seen):
+        spread = seen.std(axis=0)
+        model.x_mean, model.x_scale = seen.mean(axis=0), np.where(spread > 0, spread, 1.0)
     rng, step = np.random.default_rng(seed), 0
     m, v = ({k: np.zeros_like(w) for k, w in model.params.items()} for _ in range(2))
     for epoch in range(1, epochs + 1):
@@ -134,7 +143,7 @@ def _sample(rows: DataFrame, key: list[str], max_rows: int) -> pd.DataFrame:
 
 
 def fit_windows(windows: DataFrame, key: tuple[str, ...] = ("mmsi", "voyage_id", "window_id"), max_rows: int = 20_000, **how) -> Recurrent | None:
-    """From ``x`` and ``y`` of ``sequences.windows``; None without windows.  Feature scales are the caller's."""
+    """From ``x`` and ``y`` of ``sequences.windows``; None without windows."""
     got = _sample(windows.select(*key, "x", "y"), list(key), max_rows)
     if got.empty:
         return None
@@ -156,18 +165,33 @@ def _steps(length: np.ndarray, steps: int) -> np.ndarray:
     return np.arange(steps)[None, :] >= steps - np.asarray(length)[:, None]
 
 
+def _stacked(xs: pd.Series) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """Sequences of one length together, 256 at a time, and their places."""
+    by: dict[int, list[int]] = {}
+    for i, x in enumerate(xs):
+        by.setdefault(len(x), []).append(i)
+    for at in by.values():
+        for k in range(0, len(at), 256):
+            part = at[k : k + 256]
+            yield np.stack([np.stack(xs.iloc[i]) for i in part]).astype(np.float64), part
+
+
 def predict(rows: DataFrame, model: Recurrent) -> DataFrame:
     """Adds ``prediction``: a double for windows, an array with one per step, null in the padding, for sequences."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def windowed(xs: pd.Series) -> pd.Series:
-        return pd.Series([float(sent.value.predict(x[None], np.ones((1, len(x)), dtype=bool))[0, 0]) for x in map(np.stack, xs)], dtype="float64")
+        out = pd.Series(0.0, index=range(len(xs)))
+        for x, at in _stacked(xs):
+            out.iloc[at] = sent.value.predict(x, np.ones(x.shape[:2], dtype=bool))[:, 0]
+        return out
 
     def stepwise(xs: pd.Series, lengths: pd.Series) -> pd.Series:
-        out = []
-        for x, n in zip(map(np.stack, xs), lengths, strict=True):
-            mask = _steps(np.array([n]), len(x))
-            out.append([p if m else None for p, m in zip(sent.value.predict(x[None], mask)[0].tolist(), mask[0], strict=True)])
+        out, sizes = [None] * len(xs), lengths.to_numpy()
+        for x, at in _stacked(xs):
+            mask = _steps(sizes[at], x.shape[1])
+            for i, row, known in zip(at, sent.value.predict(x, mask).tolist(), mask, strict=True):
+                out[i] = [p if m else None for p, m in zip(row, known, strict=True)]
         return pd.Series(out)
 
     made = F.pandas_udf(stepwise, "array<double>")("x", "length") if model.every_step else F.pandas_udf(windowed, "double")("x")

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from wakeline.operators.voyages import KEY
 
-FEATURES = ("lat", "lon_360", "sog", "dist_to_dest_km", "near_port_flag")
-WINDOW_FEATURES = ("lat", "lon_360", "sog", "dist_to_dest_km")
+FEATURES = ("lat", "lon_360", "sog", "heading", "dist_to_dest_km")
+WINDOW_FEATURES = ("lat", "lon_360", "sog", "heading")
 
 
 def chunks(labelled: DataFrame, longest: int = 500, fewest: int = 10) -> DataFrame:

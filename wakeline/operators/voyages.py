@@ -76,7 +76,7 @@ def _cubes(lat: str, lon: str, side: float) -> list[Column]:
     return [F.floor(x / side).cast("long") for x in (F.cos(a) * F.cos(o), F.cos(a) * F.sin(o), F.sin(a))]
 
 
-def nearest_within(points: DataFrame, places: DataFrame, key: list[str], lat: str, lon: str, name: str, order: str, km: float, out: str = "nearest") -> DataFrame:
+def nearest_within(points: DataFrame, places: DataFrame, key: list[str], lat: str, lon: str, name: str, order: str, km: float, out: str = "nearest", within: list[str] = ()) -> DataFrame:
     """``nearest`` among the places at most ``km`` away; keys without any are left out.
 
     A place enters the 27 cubes around it, whose side is the chord of ``km``, and an equi-join finds the
@@ -84,16 +84,25 @@ def nearest_within(points: DataFrame, places: DataFrame, key: list[str], lat: st
     """
     side = 2 * math.sin(min(km / EARTH_KM, math.pi) / 2) * (1 + 1e-9) + 1e-12
     cube = ["_cx", "_cy", "_cz"]
-    p = places.select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col(name).alias("_name"), F.col(order).alias("_order"))
+    p = places.select(*within, F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.col(name).alias("_name"), F.col(order).alias("_order"))
     for c, at in zip(cube, _cubes("_lat", "_lon", side), strict=True):
         p = p.withColumn(c, F.explode(F.sequence(at - 1, at + 1)))
     own = points.select(*key, F.col(lat).alias("_plat"), F.col(lon).alias("_plon"))
-    pairs = own.withColumns(dict(zip(cube, _cubes("_plat", "_plon", side), strict=True))).join(p, cube)
+    pairs = own.withColumns(dict(zip(cube, _cubes("_plat", "_plon", side), strict=True))).join(p, [*within, *cube])
     pairs = pairs.withColumn("_d", haversine_km("_plat", "_plon", "_lat", "_lon")).where(F.col("_d") <= km)
     best = F.min(F.struct(F.col("_d").alias("d"), F.col("_order").alias("o"), F.col("_name").alias("n"))).alias("_best")
     return pairs.groupBy(*key).agg(best).select(*key, F.col("_best.n").alias(out), F.col("_best.d").alias(f"{out}_km"))
 
 
+def nearest_of_vessel(ends: DataFrame, centers: DataFrame, key: list[str], lat: str, lon: str, out: str, reaches: tuple[float, ...] = (5.0, 100.0)) -> DataFrame:
+    """The nearest stop centre of the vessel, in growing reaches: only ends without a centre within one go on to the next, and at last to all."""
+    found, left = None, ends
+    for km in reaches:
+        got = nearest_within(left, centers, key, lat, lon, "cluster_id", "cluster_id", km, out, ["mmsi"])
+        found, left = got if found is None else found.union(got), left.join(got, key, "left_anti")
+    return found.union(nearest(left, centers, key, lat, lon, "cluster_id", "cluster_id", ["mmsi"], out))
+
+
 def quality(summary: DataFrame, centers: DataFrame, min_duration_s: float = 1800.0, min_distance_km: float = 2.0, spin_deg: float = 360.0, spin_distance_km: float = 2.0,
             cluster_eps_km: float = 1.0, nearby_km: float = 1.0, gap_hours: float = 2.0, turns_per_km: float = 150.0) -> DataFrame:
     """Adds ``valid_flag`` and ``invalid_reason``; the first rule that applies gives the reason.
@@ -102,8 +111,8 @@ def quality(summary: DataFrame, centers: DataFrame, min_duration_s: float = 1800
     """
     key = list(KEY)
     ends = summary.select(*key, "dep_lat", "dep_lon", "arr_lat", "arr_lon")
-    dep = nearest(ends, centers, key, "dep_lat", "dep_lon", "cluster_id", "cluster_id", ["mmsi"], "dep_cluster")
-    arr = nearest(ends, centers, key, "arr_lat", "arr_lon", "cluster_id", "cluster_id", ["mmsi"], "arr_cluster")
+    dep = nearest_of_vessel(ends, centers, key, "dep_lat", "dep_lon", "dep_cluster")
+    arr = nearest_of_vessel(ends, centers, key, "arr_lat", "arr_lon", "arr_cluster")
     df = summary.join(dep, key, "left").join(arr, key, "left")
     km, turned = F.col("displacement_km"), F.col("heading_cum_deg")
     reason = (

@@ -133,7 +133,7 @@ def voyage_gaps(spark, d):
     return voyages.large_gap(pipelines.track(ais.from_events(spark, d)).points)
 
 
-@query(sql.summary("a") + "SELECT mmsi, CAST(voyage_id AS BIGINT) AS voyage_id, dep_time AS start_time, arr_time AS end_time, round(mean_gap, 3) AS mean_interval_sec, true AS monotonic, round(duration_hr * 3600, 6) AS duration_sec FROM summary")
+@query(sql.summary("a") + "SELECT mmsi, CAST(voyage_id AS BIGINT) AS voyage_id, dep_time AS start_time, arr_time AS end_time, round(mean_gap, 3) AS mean_interval_sec, coalesce(min_gap >= 0, true) AS monotonic, round(duration_hr * 3600, 6) AS duration_sec FROM summary")
 def voyage_time_stats(spark, d):
     # Means of microseconds often end in half a microsecond, which engines round differently; milliseconds rarely tie.
     df = voyages.time_stats(pipelines.track(ais.from_events(spark, d)).points).withColumn("mean_interval_sec", F.round("mean_interval_sec", 3))
@@ -184,8 +184,8 @@ def eta_features(spark, d):
     return _rounded(pipelines.eta_rows(ais.from_events(spark, d), "a"), "mmsi", "idx", "voyage_id", "dist_to_dest_km", "near_port_flag", "real_eta_sec")
 
 
-def _chunks(spark, d):
-    return sequences.chunks(pipelines.eta_rows(ais.from_events(spark, d), "a"), 100)
+def _chunks(spark, d, longest=100):
+    return sequences.chunks(pipelines.eta_rows(ais.from_events(spark, d), "a"), longest)
 
 
 @query(sql.chunked(100) + "SELECT mmsi, idx, CAST(voyage_id AS BIGINT) AS voyage_id, chunk, segment_id FROM chunked")
@@ -193,13 +193,13 @@ def segment_chunks(spark, d):
     return _chunks(spark, d).select("mmsi", "idx", "voyage_id", "chunk", "segment_id")
 
 
-_STD = ", ".join(f"round(coalesce(({c} - avg({c}) OVER s) / nullif(stddev_pop({c}) OVER s, 0), 0), 5) + 0.0::DOUBLE AS {c}_std" for c in ("sog", "dist_to_dest_km"))
+_STD = ", ".join(f"round(coalesce(({c} - avg({c}) OVER s) / nullif(stddev_pop({c}) OVER s, 0), 0), 5) + 0.0::DOUBLE AS {c}_std" for c in sequences.FEATURES)
 
 
 @query(sql.chunked(100) + f"SELECT mmsi, idx, segment_id, {_STD} FROM chunked WINDOW s AS (PARTITION BY segment_id)")
 def segment_standardized(spark, d):
-    df = sequences.standardised(_chunks(spark, d), ("sog", "dist_to_dest_km"))
-    return df.select("mmsi", "idx", "segment_id", *((F.round(c, 5) + 0.0).alias(c) for c in ("sog_std", "dist_to_dest_km_std")))
+    df = sequences.standardised(_chunks(spark, d))
+    return df.select("mmsi", "idx", "segment_id", *((F.round(f"{c}_std", 5) + 0.0).alias(f"{c}_std") for c in sequences.FEATURES))
 
 
 @query(sql.chunked(100) + "SELECT segment_id, CAST(count(*) AS INTEGER) AS length, (SELECT CAST(max(n) AS INTEGER) FROM (SELECT count(*) AS n FROM chunked GROUP BY segment_id)) AS padded_to, round(sum(real_eta_sec::FLOAT::DOUBLE), 2) AS y_sum FROM chunked GROUP BY segment_id HAVING count(*) >= 3")
@@ -232,6 +232,57 @@ def ports_maxradius(spark, d):
     return _rounded(df, "mmsi", "cluster_id", "center_lat", "center_lon", "radius_km", "num_points")
 
 
+@query(sql.ports_maxradius("0.01") + "SELECT mmsi, CAST(cluster_id AS INTEGER) AS cluster_id, round(center_lat, 6) AS center_lat, round(center_lon, 6) AS center_lon, round(radius_km, 6) AS radius_km, num_points FROM ports")
+def ports_maxradius_wide(spark, d):
+    df = clusters.one_stage_ports(ais.from_events(spark, d), ["mmsi"])
+    return _rounded(df, "mmsi", "cluster_id", "center_lat", "center_lon", "radius_km", "num_points")
+
+
+@query(sql.ports_maxradius("0.001", "lon_360") + "SELECT mmsi, CAST(cluster_id AS INTEGER) AS cluster_id, round(center_lat, 6) AS center_lat, round(center_lon, 6) AS center_lon, round(radius_km, 6) AS radius_km, num_points FROM ports")
+def ports_maxradius_360(spark, d):
+    df = clusters.one_stage_ports(ais.from_events(spark, d), ["mmsi"], eps=0.001, lon="lon_360")
+    return _rounded(df, "mmsi", "cluster_id", "center_lat", "center_lon", "radius_km", "num_points")
+
+
+@query(sql.quality() + "SELECT mmsi, count(*) AS voyages, count(*) FILTER (invalid_reason IS NULL) AS valid_voyages FROM judged GROUP BY mmsi")
+def valid_voyages(spark, d):
+    return pipelines.valid_voyages(pipelines.run_voyages(ais.from_events(spark, d)))
+
+
+@query(sql.AIS + "SELECT 'lat' AS what, count(*) AS n, round(avg(lat), 6) AS mean, round(stddev_samp(lat), 6) AS std, round(min(lat), 6) AS lowest, round(quantile_cont(lat, 0.25), 6) AS q25, round(quantile_cont(lat, 0.5), 6) AS q50, round(quantile_cont(lat, 0.75), 6) AS q75, round(max(lat), 6) AS highest FROM ais UNION ALL SELECT 'lon', count(*), round(avg(lon), 6), round(stddev_samp(lon), 6), round(min(lon), 6), round(quantile_cont(lon, 0.25), 6), round(quantile_cont(lon, 0.5), 6), round(quantile_cont(lon, 0.75), 6), round(max(lon), 6) FROM ais")
+def position_stats(spark, d):
+    p = ais.from_events(spark, d).select(F.explode(F.create_map(F.lit("lat"), "lat", F.lit("lon"), "lon")).alias("what", "x"))
+    x = F.col("x")
+    df = p.groupBy("what").agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("lowest"),
+        *(F.percentile(x, F.lit(q)).alias(f"q{int(q * 100)}") for q in (0.25, 0.5, 0.75)), F.max(x).alias("highest"),
+    )
+    return _rounded(df, *df.columns)
+
+
+@query(sql.labelled("a") + ", own AS (SELECT mmsi, voyage_id, count(*) AS points FROM labelled WHERE voyage_id IS NOT NULL GROUP BY mmsi, voyage_id) SELECT points, count(*) AS voyages FROM own GROUP BY points")
+def voyage_size_counts(spark, d):
+    p = pipelines.track(ais.from_events(spark, d)).points.where("voyage_id is not null")
+    return p.groupBy("mmsi", "voyage_id").agg(F.count("*").alias("points")).groupBy("points").agg(F.count("*").alias("voyages"))
+
+
+@query(sql.chunked(500) + "SELECT count(DISTINCT segment_id) AS segments, count(*) AS points FROM chunked")
+def segment_count(spark, d):
+    return _chunks(spark, d, 500).agg(F.count_distinct("segment_id").alias("segments"), F.count("*").alias("points"))
+
+
+_WINDOW_X = ", ".join(f"round(avg({c}::FLOAT::DOUBLE), 4) AS mean_{c}" for c in sequences.WINDOW_FEATURES)
+
+
+@query(sql.windows(50, 25) + f", held AS (SELECT w.mmsi, w.voyage_id, w.window_id, w.y, m.lat, m.lon_360, m.sog, m.heading FROM windowed w JOIN moving m ON m.mmsi = w.mmsi AND m.voyage_id = w.voyage_id AND m.rn BETWEEN w.window_id * 25 AND w.window_id * 25 + 49) SELECT mmsi, CAST(voyage_id AS BIGINT) AS voyage_id, window_id, CAST(count(*) AS INTEGER) AS length, round(any_value(y), 6) AS y, {_WINDOW_X} FROM held GROUP BY mmsi, voyage_id, window_id")
+def sliding_windows_50(spark, d):
+    """Windows of the reference size; every feature of every row takes part in the means."""
+    df = sequences.windows(pipelines.eta_rows(ais.from_events(spark, d), "a"))
+    mean = lambda i: F.aggregate("x", F.lit(0.0).cast("double"), lambda a, r: a + r[i].cast("double"), lambda a: a / F.size("x"))
+    means = [F.round(mean(i), 4).alias(f"mean_{c}") for i, c in enumerate(sequences.WINDOW_FEATURES)]
+    return df.select("mmsi", "voyage_id", "window_id", F.size("x").alias("length"), F.round("y", 6).alias("y"), *means)
+
+
 @query()
 def rf_eta_metrics(spark, d):
     return pipelines.run_eta(ais.from_events(spark, d)).metrics
@@ -255,9 +306,9 @@ def lstm_sequence_metrics(spark, d):
 
 @query()
 def lstm_window_metrics(spark, d):
-    return pipelines.run_window_eta(ais.from_events(spark, d), 20, 10).metrics
+    return pipelines.run_window_eta(ais.from_events(spark, d)).metrics
 
 
 @query()
 def lstm_window_history(spark, d):
-    return pipelines.run_window_eta(ais.from_events(spark, d), 20, 10).history
+    return pipelines.run_window_eta(ais.from_events(spark, d)).history

@@ -69,7 +69,7 @@ step AS (SELECT *, {hav('lag(lat) OVER v', 'lag(lon) OVER v', 'lat', 'lon')} AS
 turns AS (SELECT mmsi, voyage_id, {turn} AS t FROM labelled WHERE voyage_id IS NOT NULL AND heading IS NOT NULL AND heading <> 511 WINDOW v AS (PARTITION BY mmsi, voyage_id ORDER BY idx)),
 wrapped AS (SELECT mmsi, voyage_id, sum(abs(CASE WHEN t > 180 THEN t - 360 WHEN t < -180 THEN t + 360 ELSE t END)) AS deg FROM turns GROUP BY mmsi, voyage_id),
 agg AS (SELECT mmsi, voyage_id, min(idx) AS start_idx, max(idx) AS end_idx, min(ts) AS dep_time, max(ts) AS arr_time, arg_min(lat, idx) AS dep_lat, arg_min(lon, idx) AS dep_lon, arg_max(lat, idx) AS arr_lat, arg_max(lon, idx) AS arr_lon,
-  coalesce(sum(km), 0) AS path_len_km, count(*) AS n_points, max(gap) AS max_gap_s, avg(gap) AS mean_gap FROM step GROUP BY mmsi, voyage_id),
+  coalesce(sum(km), 0) AS path_len_km, count(*) AS n_points, max(gap) AS max_gap_s, min(gap) AS min_gap, avg(gap) AS mean_gap FROM step GROUP BY mmsi, voyage_id),
 summary AS (SELECT a.*, (epoch_us(arr_time) - epoch_us(dep_time)) / 1e6 / 3600 AS duration_hr, {hav('dep_lat', 'dep_lon', 'arr_lat', 'arr_lon')} AS displacement_km, coalesce(deg, 0) AS heading_cum_deg FROM agg a LEFT JOIN wrapped USING (mmsi, voyage_id))
 """
 
@@ -168,7 +168,7 @@ def ports_merged() -> str:
     )
 
 
-def ports_maxradius() -> str:
-    return AIS + ", slow AS (SELECT mmsi, row_ord, lat, lon FROM ais WHERE sog < 0.5)" + dbscan("slow", "mmsi", "0.0005::DOUBLE", 10, "first", None, "db") + (
+def ports_maxradius(eps: str = "0.0005", lon: str = "lon") -> str:
+    return AIS + f", slow AS (SELECT mmsi, row_ord, lat, {lon} AS lon FROM ais WHERE sog < 0.5)" + dbscan("slow", "mmsi", f"{eps}::DOUBLE", 10, "first", None, "db") + (
         ", member AS (SELECT k AS mmsi, lat, lon, cluster_id FROM db)" + _measured("member", "mmsi, cluster_id", "max", "ports")
     )

@@ -65,8 +65,9 @@ def run_eta(points: DataFrame, trees: int = 100, depth: int = 10) -> Eta:
 
 
 def training_sequences(points: DataFrame, longest: int = 500, fewest: int = 10) -> DataFrame:
-    rows = eta_rows(points).dropna(subset=["real_eta_sec", "dist_to_dest_km"])
-    return sequences.padded(sequences.standardised(sequences.chunks(rows, longest, fewest)))
+    """Chunks are cut first; rows that lack a feature or the target go before a chunk is standardised."""
+    cut = sequences.chunks(eta_rows(points), longest, fewest).dropna(subset=["real_eta_sec", *sequences.FEATURES])
+    return sequences.padded(sequences.standardised(cut))
 
 
 @dataclass
@@ -92,11 +93,9 @@ def run_sequence_eta(points: DataFrame, **how) -> RecurrentEta:
 
 
 def run_window_eta(points: DataFrame, size: int = 50, stride: int = 25, **how) -> RecurrentEta:
-    """The arrival time at the end of each sliding window of standardised voyages in motion."""
+    """The arrival time at the end of each sliding window of whole voyages in motion, features as they are."""
     spark = points.sparkSession
-    cut = sequences.standardised(sequences.chunks(eta_rows(points).dropna(subset=["real_eta_sec", "dist_to_dest_km"])))
-    columns = tuple(f"{c}_std" for c in sequences.WINDOW_FEATURES)
-    rows = Scratch(spark, "windows").cut(sequences.windows(cut, size, stride, columns), "windows")
+    rows = Scratch(spark, "windows").cut(sequences.windows(eta_rows(points), size, stride), "windows")
     return _recurrent(spark, rows, recurrent.fit_windows(rows, **how), "window")
 
 
@@ -104,3 +103,8 @@ def counts(t: Track) -> DataFrame:
     """Points, stops and voyages of each vessel."""
     p = t.points.groupBy("mmsi").agg(F.count("*").alias("points"), F.count_distinct("voyage_id").alias("voyages"))
     return p.join(t.segments.groupBy("mmsi").agg(F.count("*").alias("stops"), F.count_if("kept").alias("kept_stops")), "mmsi", "left")
+
+
+def valid_voyages(judged: DataFrame) -> DataFrame:
+    """Voyages of each vessel, and how many of them are valid."""
+    return judged.groupBy("mmsi").agg(F.count("*").alias("voyages"), F.count_if("valid_flag").alias("valid_voyages"))

@@ -1,4 +1,4 @@
-"""CSV and map files.  Maps are small: voyages and ports are collected, tracks thinned by a stride."""
+"""CSV and map files.  Maps are small: ports are collected, and lines are thinned to a bounded number of points."""
 
 import html
 import json
@@ -12,7 +12,7 @@ _PAGE = """<!DOCTYPE html><html><head><meta charset="utf-8">
 const map = L.map("map").setView({center}, {zoom});
 L.tileLayer("https://tile.openstreetmap.org/{{z}}/{{x}}/{{y}}.png").addTo(map);
 for (const s of {shapes}) {{
-  const g = s.kind === "line" ? L.polyline(s.at, s.style) : s.kind === "circle" ? L.circle(s.at, s.style) : L.marker(s.at, {{title: s.popup}});
+  const g = s.kind === "line" ? L.polyline(s.at, s.style) : s.kind === "circle" ? L.circle(s.at, s.style) : L.marker(s.at, {{title: s.popup, icon: L.divIcon({{className: "", html: "<span style='font-size:22px;color:" + s.color + "'>" + ({{play: "\u25b6", stop: "\u25a0", anchor: "\u2693"}})[s.icon] + "</span>"}})}});
   g.addTo(map); if (s.popup) g.bindPopup(s.popup);
 }}
 </script></body></html>
@@ -56,9 +56,16 @@ def write_ports_csv(ports: DataFrame, path: str) -> bool:
     return True
 
 
-def voyage_map(labelled: DataFrame, voyages: DataFrame, path: str) -> str | None:
-    """One line per voyage, blue if valid and red if not, with its start and end; None if there is nothing to draw."""
-    rows = labelled.where("voyage_id is not null").groupBy("mmsi", "voyage_id").agg(F.array_sort(F.collect_list(F.struct("idx", "lat", "lon_360"))).alias("t"))
+def voyage_map(labelled: DataFrame, voyages: DataFrame, path: str, most: int = 500) -> str | None:
+    """One line per voyage, blue if valid and red if not, with its start and end; None if there is nothing to draw.
+
+    Of a voyage, about ``most`` points at an even stride are drawn, the first and the last among them.
+    """
+    by = Window.partitionBy("mmsi", "voyage_id")
+    at, n = F.row_number().over(by.orderBy("idx")) - 1, F.count("*").over(by)
+    drawn = labelled.where("voyage_id is not null").withColumn("_at", at).withColumn("_n", n)
+    drawn = drawn.where((F.pmod("_at", F.greatest(F.expr(f"cast(ceil(_n / {most}) as int)"), F.lit(1))) == 0) | (F.col("_at") == F.col("_n") - 1))
+    rows = drawn.groupBy("mmsi", "voyage_id").agg(F.array_sort(F.collect_list(F.struct("idx", "lat", "lon_360"))).alias("t"))
     rows = rows.join(voyages.select("mmsi", "voyage_id", "valid_flag", "invalid_reason"), ["mmsi", "voyage_id"]).orderBy("mmsi", "voyage_id").collect()
     mid = labelled.agg(F.avg("lat"), F.avg("lon_360")).first()
     if not rows or mid[0] is None:
