@@ -139,6 +139,61 @@ def test_oracle(spark, name):
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select(cols).collect())
 
 
+def test_files_in_and_out(spark, tmp_path):
+    """Positions and ports from CSV, one vessel taken, voyages and ports to CSV and maps."""
+    from wakeline.plans import pipelines
+    from wakeline.sources import sinks
+
+    def leg(t0, lat, lon, n, sog, to=None):
+        return [(t0 + 300 * i, lat + (to[0] - lat) * i / n if to else lat, lon + (to[1] - lon) * i / n if to else lon, sog) for i in range(n)]
+
+    rows = leg(0, 25.15, 121.75, 20, 0.1) + leg(6000, 25.15, 121.75, 30, 12.0, (24.2, 120.5)) + leg(15_000, 24.2, 120.5, 20, 0.1)
+    lines = ["MMSI,Long,Lat,Sog,Hdg,Timestamp"] + [f"7,{o},{a},{s},{90 + i % 7},{(T0 + dt.timedelta(seconds=t)).isoformat(sep=' ')}" for i, (t, a, o, s) in enumerate(rows)]
+    lines += ["8,1,1,0.1,1,2024-01-01 00:00:00", "7,999,1,0.1,1,2024-01-01 00:00:00", "7,1,1,,1,2024-01-01 00:00:00", "7,1,1,0.1,1,junk", "7,x,1,0.1,1,2024-01-01 00:00:00"]
+    (tmp_path / "p.csv").write_text("\n".join(lines), encoding="utf-8")
+    (tmp_path / "ports.csv").write_text("name,lat,lon\nA,25.15,121.75\nB,24.2,120.5\n", encoding="utf-8")
+    raw = ais.read_csv(spark, str(tmp_path / "p.csv"))
+    points = ais.clean(raw, mmsi=7)
+    assert points.count() == len(rows) and ais.clean(raw, mmsi=7, keep_missing_sog=True).count() == len(rows) + 1 and ais.clean(raw).count() == len(rows) + 1
+    assert ais.clean(raw, mmsi=7, sog_range=(1, 50)).count() == 30
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        ais.clean(raw, mmsi=7, strict=True).collect()
+    out = pipelines.run_voyages(points, ais.read_ports(spark, str(tmp_path / "ports.csv")))
+    assert sinks.write_csv_bom(out, str(tmp_path / "out.csv")) == 1
+    data = (tmp_path / "out.csv").read_bytes()
+    assert data.startswith(b"\xef\xbb\xbf") and data[3:].decode().splitlines()[0].split(",") == pipelines.COLUMNS
+    r = out.first()
+    assert (r.origin_port, r.destination_port, r.valid_flag, r.n_points) == ("A", "B", True, 30)
+    t = pipelines.track(points)
+    assert pipelines.valid_voyages(out).first().valid_voyages == 1
+    page = open(sinks.voyage_map(t.points, out, str(tmp_path / "v.html"), most=10), encoding="utf-8").read()
+    assert all(x in page for x in ('"color": "blue"', '"icon": "play"', '"icon": "stop"', "Valid=True")) and page.count("25.15") < 20
+    ports = pipelines.detect_ports(points)
+    assert sinks.write_ports_csv(ports, str(tmp_path / "found")) and not sinks.write_ports_csv(ports.where("false"), str(tmp_path / "none"))
+    assert '"anchor"' in open(sinks.port_map(ports, str(tmp_path / "ports.html")), encoding="utf-8").read() and sinks.port_map(ports.where("false"), str(tmp_path / "x")) is None
+    assert "Start" in open(sinks.track_map(points, str(tmp_path / "t.html"), 5), encoding="utf-8").read()
+
+
+def test_spin_in_place(spark):
+    """Rules of quality in order, on made summaries; the spin needs a short way and a full turn."""
+    kind = "mmsi long, voyage_id long, duration_hr double, displacement_km double, path_len_km double, heading_cum_deg double, max_gap_s double, dep_lat double, dep_lon double, arr_lat double, arr_lon double"
+    row = lambda i, hr, km, path, deg, gap: (1, i, hr, km, path, deg, gap, 10.0, 20.0, 30.0, 40.0)
+    df = spark.createDataFrame([row(1, 1.0, 1.5, 9.0, 400.0, 0.0), row(2, 1.0, 50.0, 60.0, 9001.0, 0.0), row(3, 1.0, 50.0, 60.0, 100.0, 7201.0), row(4, 0.4, 50.0, 60.0, 0.0, 0.0), row(5, 1.0, 50.0, 60.0, 0.0, 7200.0)], kind)
+    centers = spark.createDataFrame([(1, 0, 10.0, 20.0), (1, 1, 30.0, 40.0), (2, 0, 10.0, 20.0)], "mmsi long, cluster_id int, lat double, lon double")
+    got = lambda **how: {r.voyage_id: r.invalid_reason for r in voyages.quality(df, centers, **how).collect()}
+    assert got() == {1: "R2_too_short", 2: "R4b_excessive_turns", 3: "R5_large_time_gap", 4: "R2_too_short", 5: None}
+    assert got(min_distance_km=1.0)[1] == "R4a_spin_in_place"
+
+
+def test_nearest_of_vessel_agrees_with_all_pairs(spark):
+    rng = random.Random(10)
+    centers = spark.createDataFrame([(i % 3, i, rng.uniform(20, 22), rng.uniform(120, 124)) for i in range(40)] + [(7, 0, -80.0, 179.0)], "mmsi long, cluster_id int, lat double, lon double")
+    ends = spark.createDataFrame([(i % 4 if i else 7, i, rng.uniform(19, 23), rng.uniform(118, 126)) for i in range(200)], "mmsi long, voyage_id long, a double, o double")
+    key = ["mmsi", "voyage_id"]
+    want = voyages.nearest(ends, centers, key, "a", "o", "cluster_id", "cluster_id", ["mmsi"], "c")
+    assert sorted(map(repr, voyages.nearest_of_vessel(ends, centers, key, "a", "o", "c").collect())) == sorted(map(repr, want.collect()))
+
+
 def test_nearest_within_agrees_with_all_pairs(spark):
     rng = random.Random(9)
     ports = spark.createDataFrame([(f"p{i}", rng.uniform(-89, 89), rng.uniform(-180, 180), i) for i in range(60)] + [("twin", 10.0, 179.99, 70), ("late twin", 10.0, 179.99, 71)], "port_name string, lat double, lon double, port_ord long")
@@ -232,4 +287,4 @@ def test_registered_fits_are_whole(spark, monkeypatch):
     for name in ("rf_eta_metrics", "rf_importance", "eta_point", "lstm_sequence_metrics", "lstm_window_metrics", "lstm_window_history"):
         with pytest.raises(Stop):
             catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
-    assert len(asked) == 6 and not any({"trees", "epochs"} & set(how) for how in asked)
+    assert len(asked) == 6 and not any({"trees", "epochs", "size", "stride"} & set(how) for how in asked)
