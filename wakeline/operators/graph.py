@@ -1,5 +1,6 @@
 """Tables in the shared folder, and connected components built on them."""
 
+import gc
 import os
 import tempfile
 import uuid
@@ -53,6 +54,11 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(df._wakeline_path)
             path.getFileSystem(conf).delete(path, True)
 
+    def sweep(self) -> None:
+        """Shuffle files of plans that are done with go when the driver collects its garbage; let it do so now."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def components(scratch: Scratch, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u, v)`` as ``(node, root)``, root = smallest node of the component.
