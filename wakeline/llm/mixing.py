@@ -13,7 +13,9 @@ it.  Each is one distributed aggregate over the (source, size) counts, which doc
 Copies: documents of one (source, size) cell have one rate, and get whole copies that sum to the cell's
 share; the fractions left are settled per source from the largest size down, so that a source ends within
 about its smallest size of its target.  Which documents of a cell get the odd copies follows from a hash of
-id and text, ranked within shares of a cell of about ``SHARE`` documents each.
+id and text, ranked within shares of a cell of about ``SHARE`` documents each.  That is settled on hashes, and
+leaves one edge for each share; the documents are read a second time and held against it, so texts travel
+only where the edges are too many for Spark to send them to all executors.
 
 A source without words has target and taken 0.  Repeated rows count one by one; which of them get odd copies goes by
 ``extra`` columns too.  Tilts that do not settle are an error.  The result is the same at every run; an empty table gives no rows; other columns are ignored unless asked for.
@@ -106,9 +108,15 @@ def settle(cells: pd.DataFrame) -> pd.DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken, and ``extra`` columns of the documents."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(id_col, text_col).alias("h"), *(F.col(c).alias(f"_x_{c}") for c in extra))
-    own = scratch.cut(own, "sizes")
-    cells = scratch.cut(own.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
+    tie = F.xxhash64(*(F.col(c) for c in extra)) if extra else F.lit(0).cast("long")
+
+    def rows(*more: Column) -> DataFrame:
+        own = (F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(id_col, text_col).alias("h"))
+        return docs.select(*own, tie.alias("tie"), *more)
+
+    # Decisions are made without the texts; repeated rows are one with a count.
+    own = scratch.cut(rows().groupBy("doc_id", "source", "size", "h", "tie").agg(F.count("*").alias("m")), "sizes")
+    cells = scratch.cut(own.groupBy("source", "size").agg(F.sum("m").alias("n")), "cells")
     sources = scratch.cut(targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, budget), "targets")
     # Numbers stand for sources in the joins: a null source joins like any other.
     number = sources.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
@@ -125,19 +133,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     copies = shared.groupBy("source").applyInPandas(settle, "source int, size long, copies long")
     copies = scratch.cut(coded.join(copies, ["source", "size"]).select("source", "size", "n", "copies"), "copies")
 
-    doc = own.alias("d").join(number.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "s.source_no", "s.source_size", "s.target")
-    doc = doc.withColumnRenamed("source", "_source").withColumnRenamed("source_no", "source").join(copies, ["source", "size"])
     # Every document of a cell gets copies div n; the odd ones go by the hash of id and text, dealt to the cell's parts.
-    doc = doc.withColumn("parts", F.greatest(F.expr(f"n div {SHARE}"), F.lit(1)))
-    doc = doc.withColumn("part", F.pmod(F.col("h"), F.col("parts")))
-    held = doc.where("parts > 1").groupBy("source", "size", "part").agg(F.count("*").alias("m"), F.first("n").alias("n"), F.first("copies").alias("copies"))
-    upto = Window.partitionBy("source", "size").orderBy("part")
-    dealt = held.withColumn("to", F.sum("m").over(upto)).withColumn("odd", F.expr("copies - (copies div n) * n"))
-    dealt = dealt.select("source", "size", "part", F.expr("(to * odd) div n - ((to - m) * odd) div n").alias("odd_here"))
-    doc = doc.join(dealt, ["source", "size", "part"], "left")
-    odd = F.coalesce("odd_here", F.expr("copies - (copies div n) * n"))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("h", "doc_id", *([F.xxhash64(*(F.col(f"_x_{c}") for c in extra))] if extra else [])))
-    doc = doc.withColumn("copies", F.expr("copies div n") + F.when(rank <= odd, 1).otherwise(0))
+    every = copies.withColumn("parts", F.greatest(F.expr(f"n div {SHARE}"), F.lit(1))).withColumnRenamed("source", "source_no").join(number, "source_no")
+    every = scratch.cut(every.select("source_no", F.col("source").alias("_source"), F.col("size").alias("_size"), "n", "copies", "parts", "source_size", "target"), "every")
+
+    def placed(given: DataFrame) -> DataFrame:
+        found = given.join(every, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
+        return found.withColumn("part", F.pmod(F.col("h"), F.col("parts"))).drop("source", "_source", "_size")
+
+    cell = ("source_no", "size")
+    held = placed(own)
+    dealt = held.groupBy(*cell, "part").agg(F.sum("m").alias("held"), F.first("n").alias("n"), F.first("copies").alias("copies"))
+    upto = Window.partitionBy(*cell).orderBy("part")
+    dealt = dealt.withColumn("to", F.sum("held").over(upto)).withColumn("odd", F.expr("copies - (copies div n) * n"))
+    dealt = dealt.select(*cell, "part", F.expr("(to * odd) div n - ((to - held) * odd) div n").alias("odd_here")).where("odd_here > 0")
+    # The edge of a part is the row that takes its last odd copy: the rows before it take one each, and of the
+    # rows equal to it as many as are left.
+    order = Window.partitionBy(*cell, "part").orderBy("h", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    edges = held.select(*cell, "part", "h", "doc_id", "tie", "m").join(dealt, [*cell, "part"]).withColumn("to", F.sum("m").over(order))
+    edges = edges.where("to >= odd_here and to - m < odd_here").withColumn("left", F.expr("odd_here - to + m"))
+    edges = edges.select(*cell, "part", F.struct("h", "doc_id", "tie").alias("edge"), "left", (F.col("left") < F.col("m")).alias("torn"))
+    edges = scratch.cut(edges, "edges")
+
+    doc = placed(rows(*(F.col(c).alias(f"_x_{c}") for c in extra))).join(edges, [*cell, "part"], "left")
+    key = F.struct("h", "doc_id", "tie")
+    odd = F.when(key <= F.col("edge"), 1).otherwise(0)
+    if edges.where("torn").isEmpty():
+        doc = doc.withColumn("odd", odd)
+    else:
+        torn = F.coalesce(F.col("torn") & key.eqNullSafe(F.col("edge")), F.lit(False))
+        rank = F.row_number().over(Window.partitionBy(*cell, "part").orderBy("h"))
+        doc = doc.where(~torn).withColumn("odd", odd).unionByName(doc.where(torn).withColumn("odd", F.when(rank <= F.col("left"), 1).otherwise(0)))
+    doc = doc.withColumn("copies", F.expr("copies div n") + F.col("odd"))
     return doc.select("doc_id", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), *(F.col(f"_x_{c}").alias(c) for c in extra))
 
 

@@ -20,6 +20,7 @@ again, until nothing goes; what is left then, texts alike in a segment and not i
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,8 @@ RECALL = 0.94
 BITS = 22
 WEAK = 8
 CROWD = 16
+#: Segments whose variants are shuffled at a time, which bounds the disk they need.
+AT_ONCE = 5
 #: Standard deviations of the bits kept for the check that a similar pair may differ by.
 SIGMAS = 4.0
 _BLOCK = 1 << 14
@@ -119,9 +122,9 @@ def _wholes(prints: DataFrame, bits: int) -> DataFrame:
     return each.select(F.expr(f"if(alone, ~{key}, {key})").alias("key"), "row")
 
 
-def _variants(prints: DataFrame, bits: int, weak: int) -> DataFrame:
-    """(key, row): each segment without one bit.  Rows that are ``alone`` have keys of their own."""
-    each = prints.select("row", "alone", F.posexplode("segs").alias("t", "s"))
+def _variants(prints: DataFrame, bits: int, weak: int, lo: int = 0, hi: int = 1 << 30) -> DataFrame:
+    """(key, row): each segment, or those from ``lo`` to before ``hi``, without one bit.  Rows that are ``alone`` have keys of their own."""
+    each = prints.select("row", "alone", F.posexplode("segs").alias("t", "s")).where(f"t >= {lo} and t < {hi}")
     place = [f"(shiftright(s, {bits + 5 * j}) & 31)" for j in range(weak)]
     keys = [f"(shiftleft(t * 32 + {p}, 32) | (s & {(1 << bits) - 1} & ~shiftleft(1L, cast({p} as int))))" for p in place]
     keys = F.explode(F.expr(f"array({', '.join(keys)})")).alias("key")
@@ -158,8 +161,8 @@ def _close(least: float) -> Callable[[str, str], str]:
     return lambda a, b: f"{a}.n >= {least} * {b}.n - 1e-6 and {b}.n >= {least} * {a}.n - 1e-6 and bit_count({a}.w ^ {b}.w) <= {most}"
 
 
-def survivors(docs: DataFrame, width: int = WIDTH, least: float = LEAST, recall: float = RECALL) -> DataFrame:
-    """The column ``row`` of the rows that stay: of each group of similar rows, the one with the smallest id.
+def removed(docs: DataFrame, width: int = WIDTH, least: float = LEAST, recall: float = RECALL) -> DataFrame:
+    """The column ``row`` of the rows that go: of each group of similar rows, all but the one with the smallest id.
 
     ``docs`` has ``row``, a number that rows of one id and text share, ``id``, ``text``, and ``alone``, which tells
     two parts of the rows; rows of different parts are not compared.  Groups are closed under similarity; of a
@@ -171,6 +174,8 @@ def survivors(docs: DataFrame, width: int = WIDTH, least: float = LEAST, recall:
     prints = scratch.cut(_prints(docs, width, segments, bits, weak), "prints")
     first = prints.groupBy("alone", "digest").agg(F.min(F.struct(F.isnull("id"), "id", "row")).alias("s")).select("s.row")
     alive = scratch.cut(prints.join(first, "row", "left_semi").dropDuplicates(["row"]), "distinct")
+    went = [scratch.cut(prints.select("row").join(alive, "row", "left_anti").distinct(), "same")]
+    scratch.drop(prints)
     named = alive.select("row", "id")
     size = alive.select("row", F.struct("n", "w").alias("p"))
     close = _close(least)
@@ -198,11 +203,17 @@ def survivors(docs: DataFrame, width: int = WIDTH, least: float = LEAST, recall:
     shared = scratch.cut(_shared(rows), "shared")
     crowd = scratch.cut(rows.join(shared.where("c > 3"), "key").select("row", "a", "b"), "crowd")
     gone = go(met(few(shared).union(stars(crowd))))
-    went = [gone]
-
-    rows, full = _variants(alive.join(gone, "row", "left_anti"), bits, weak), False
+    went.append(gone)
+
+    rest = alive.join(gone, "row", "left_anti")
+    rows, full = _variants(rest, bits, weak), False
+    # A few segments at a time, whose shuffle files go before the next ones come; keys of two segments differ.
+    shared = []
+    for at in range(0, segments, AT_ONCE):
+        shared.append(scratch.cut(_shared(_variants(rest, bits, weak, at, at + AT_ONCE)), "shared"))
+        scratch.sweep()
+    shared = reduce(DataFrame.union, shared)
     while True:
-        shared = scratch.cut(_shared(rows), "shared")
         crowd = scratch.cut(rows.join(shared.where("c > 3"), "key").drop("x"), "crowd")
         small = crowd if full else crowd.where(f"c <= {CROWD}")
         small = scratch.cut(small.join(size, "row").select("key", "row", "p"), "small")
@@ -214,7 +225,7 @@ def survivors(docs: DataFrame, width: int = WIDTH, least: float = LEAST, recall:
             break
         full = found.isEmpty()
         rows = scratch.cut(many.select("key", "row").join(found, "row", "left_anti"), "rest")
-    out = alive.select("row")
-    for rows in went:
-        out = out.join(rows, "row", "left_anti")
-    return out
+        shared = scratch.cut(_shared(rows), "shared")
+    gone = scratch.cut(reduce(DataFrame.union, went), "gone")
+    scratch.drop(alive)
+    return gone
