@@ -5,7 +5,7 @@ the columns of documents.  Null texts have no letter and go in the first stage.
 row, so that different texts under one id are different documents, and all rows but one of a copied row go.
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.llm import decontam, langid, mixing, nearcopies, pii
@@ -33,10 +33,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     of one id and text are one; of them stays the one whose columns hash lowest.
     """
     row = F.xxhash64("doc_id", "text").alias("row")
-    stay = nearcopies.survivors(docs.select(row, F.col("doc_id").alias("id"), F.isnull("doc_id").alias("alone"), "text"))
-    kept = docs.select(row, F.struct(*docs.columns).alias("doc")).join(stay, "row", "left_semi")
-    first = Window.partitionBy("row").orderBy(F.xxhash64("doc"))
-    return kept.withColumn("place", F.row_number().over(first)).where("place = 1").select("doc.*")
+    gone = nearcopies.removed(docs.select(row, F.col("doc_id").alias("id"), F.isnull("doc_id").alias("alone"), "text"))
+    whole = docs.select(row, F.struct(*docs.columns).alias("doc")).withColumn("hash", F.xxhash64("doc"))
+    # Texts are not shuffled to be told apart, but for those of rows that share id and text.
+    often = whole.groupBy("row").agg(F.count("*").alias("c"), F.min("hash").alias("least")).where("c > 1").drop("c")
+    often = Scratch(spark, "pipeline").cut(often, "often")
+    kept = whole.join(gone, "row", "left_anti")
+    if not often.isEmpty():
+        kept = kept.join(often, "row", "left")
+        copied = kept.where("hash = least").dropDuplicates(["row"])
+        kept = kept.where("least is null").unionByName(copied)
+    return kept.select("doc.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
