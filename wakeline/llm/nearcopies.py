@@ -5,7 +5,7 @@ sequence).  A fingerprint bit says whether more than half of the set's hashes ha
 ``least`` differ in a share p of their bits, arccos(2 least / (1 + least)) / pi; the fingerprint is cut into so
 many segments that with a probability of ``RECALL`` two such sets differ by one bit or none in one of them.
 Every segment is indexed under its one-wildcard variants, an equality join finds texts that share one, and
-what it finds is checked: the sizes, 64 bits kept for that, at last the sets themselves.  A bit differs where
+what it finds is checked: the sizes, 128 bits kept for that, at last the sets themselves.  A bit differs where
 the count is near half in both texts, so only the ``WEAK`` most even bits of a segment become wildcards.
 
 A segment has four bits more than numbers the texts, ``BITS`` at least, so chance meetings stay in proportion to
@@ -16,6 +16,7 @@ one, and those that go do not crowd the variants.  A key that two or three share
 before any shuffle of texts, gives pairs.  One that more share is no all-pairs group: up to ``CROWD`` are compared
 with each other, and in larger ones all with the first and the last; the similar ones go, and the rest is taken
 again, until nothing goes; what is left then, texts alike in a segment and not in their sets, is compared in full.
+No two sets are compared twice.
 """
 
 import math
@@ -39,6 +40,8 @@ WEAK = 8
 CROWD = 16
 #: Segments whose variants are shuffled at a time, which bounds the disk they need.
 AT_ONCE = 5
+#: Bits kept for the check, two longs.
+CHECK = 128
 #: Standard deviations of the bits kept for the check that a similar pair may differ by.
 SIGMAS = 4.0
 _BLOCK = 1 << 14
@@ -90,28 +93,28 @@ def _leanings(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
     return 2 * total - len(hashes)
 
 
-def signature(hashes: np.ndarray, segments: int, bits: int, weak: int, odd: np.ndarray) -> tuple[int, np.ndarray]:
-    """The 64 bits for the check, and for each segment its value and, above it, five bits for each wildcard's place."""
+def signature(hashes: np.ndarray, segments: int, bits: int, weak: int, odd: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """The 128 bits for the check, and for each segment its value and, above it, five bits for each wildcard's place."""
     lean = _leanings(hashes, odd)
-    check = int(np.packbits(lean[:64] > 0, bitorder="little").view("<i8")[0])
-    lean = lean[64 : 64 + segments * bits].reshape(segments, bits)
+    check = np.packbits(lean[:CHECK] > 0, bitorder="little").view("<i8").tolist()
+    lean = lean[CHECK : CHECK + segments * bits].reshape(segments, bits)
     value = (lean > 0) @ (np.int64(1) << np.arange(bits, dtype=np.int64))
     places = np.sort(np.argsort(np.abs(lean), axis=1, kind="stable")[:, :weak], axis=1)
     return check, value | (places << (bits + 5 * np.arange(weak))).sum(axis=1)
 
 
 def _prints(docs: DataFrame, width: int, segments: int, bits: int, weak: int) -> DataFrame:
-    """(row, id, alone, n, digest, w, segs)"""
+    """(row, id, alone, n, digest, w, x, segs)"""
 
     def run(texts: pd.Series) -> pd.DataFrame:
-        odd, out = _mixers(1 + -(-segments * bits // 64)), []
+        odd, out = _mixers(CHECK // 64 + -(-segments * bits // 64)), []
         for t in texts:
             h = shingles(t, width)
-            w, segs = signature(h, segments, bits, weak, odd)
-            out.append((len(h), xxhash.xxh3_128_digest(h.tobytes()), w, segs))
-        return pd.DataFrame(out, columns=["n", "digest", "w", "segs"])
+            check, segs = signature(h, segments, bits, weak, odd)
+            out.append((len(h), xxhash.xxh3_128_digest(h.tobytes()), *check, segs))
+        return pd.DataFrame(out, columns=["n", "digest", "w", "x", "segs"])
 
-    made = F.pandas_udf(run, "n int, digest binary, w long, segs array<long>")("text")
+    made = F.pandas_udf(run, "n int, digest binary, w long, x long, segs array<long>")("text")
     return docs.select("row", "id", "alone", made.alias("p")).select("row", "id", "alone", "p.*")
 
 
@@ -139,7 +142,7 @@ def _shared(rows: DataFrame) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, width: int, least: float) -> DataFrame:
     """The pairs (u, v) of rows that are similar."""
-    rows = pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct()
+    rows = scratch.cut(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct(), "ends")
     data = F.pandas_udf(lambda ts: pd.Series([shingles(t, width).tobytes() for t in ts]), "binary")
     # Rows of one text and id are one row here.
     texts = docs.join(rows, "row", "left_semi").select("row", data("text").alias("s"))
@@ -157,8 +160,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, width: int, l
 def _close(least: float) -> Callable[[str, str], str]:
     """SQL: whether two rows' sizes and check bits allow the similarity."""
     p = differing(least)
-    most = math.floor(64 * p + SIGMAS * math.sqrt(64 * p * (1 - p)))
-    return lambda a, b: f"{a}.n >= {least} * {b}.n - 1e-6 and {b}.n >= {least} * {a}.n - 1e-6 and bit_count({a}.w ^ {b}.w) <= {most}"
+    most = math.floor(CHECK * p + SIGMAS * math.sqrt(CHECK * p * (1 - p)))
+    return lambda a, b: f"{a}.n >= {least} * {b}.n - 1e-6 and {b}.n >= {least} * {a}.n - 1e-6 and bit_count({a}.w ^ {b}.w) + bit_count({a}.x ^ {b}.x) <= {most}"
 
 
 def removed(docs: DataFrame, width: int = WIDTH, least: float = LEAST, recall: float = RECALL) -> DataFrame:
@@ -177,55 +180,77 @@ def removed(docs: DataFrame, width: int = WIDTH, least: float = LEAST, recall: f
     went = [scratch.cut(prints.select("row").join(alive, "row", "left_anti").distinct(), "same")]
     scratch.drop(prints)
     named = alive.select("row", "id")
-    size = alive.select("row", F.struct("n", "w").alias("p"))
+    size = alive.select("row", F.struct("n", "w", "x").alias("p"))
     close = _close(least)
 
+    checked: list[DataFrame] = []
+
+    def fresh(pairs: DataFrame) -> DataFrame:
+        """Of the pairs, those whose sets were not compared yet."""
+        for t in checked:
+            pairs = pairs.join(t, ["u", "v"], "left_anti")
+        return pairs
+
     def met(pairs: DataFrame) -> DataFrame:
-        """Of the pairs (u, v), once each, those that are close."""
+        """Of the pairs (u, v), once each, those that are close and were not compared yet."""
         ends = [size.select(F.col("row").alias(e), F.col("p").alias(f"p{e}")) for e in ("u", "v")]
-        pairs = pairs.where("u <> v").selectExpr("least(u, v) as u", "greatest(u, v) as v").distinct()
+        pairs = fresh(pairs.where("u <> v").selectExpr("least(u, v) as u", "greatest(u, v) as v").distinct())
         return pairs.join(ends[0], "u").join(ends[1], "v").where(close("pu", "pv")).select("u", "v")
 
     def go(pairs: DataFrame) -> DataFrame:
         """The rows that go, given all close pairs."""
-        similar = _verified(docs, scratch.cut(pairs, "pairs"), scratch, width, least)
+        checked.append(scratch.cut(pairs, "pairs"))
+        similar = _verified(docs, checked[-1], scratch, width, least)
+        if similar.isEmpty():
+            return similar.select(F.col("u").alias("row"))
         roots = scratch.cut(components(scratch, similar).join(named.withColumnRenamed("row", "node"), "node"), "roots")
         stay = roots.groupBy("root").agg(F.min(F.struct(F.isnull("id"), "id", "node")).alias("s")).select("s.node")
         return scratch.cut(roots.join(stay, "node", "left_anti").select(F.col("node").alias("row")), "found")
 
     def few(shared: DataFrame) -> DataFrame:
-        return shared.where("c <= 3").select(F.explode(F.array(*(F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in ("ab", "ax", "xb")))).alias("e")).select("e.*")
+        two = shared.where("c <= 3").selectExpr("a as u", "b as v")
+        third = F.explode(F.array("a", "b")).alias("v")
+        return two.union(shared.where("c = 3").select(F.col("x").alias("u"), third))
+
+    def crowded(rows: DataFrame, shared: DataFrame) -> DataFrame:
+        """(key, c, a, b, row): the rows of keys that more than three share.
+
+        The keys are a table of their own, whose size tells the planner whether all rows must be shuffled again.
+        """
+        keys = scratch.cut(shared.where("c > 3").drop("x"), "keys")
+        return scratch.cut(rows.join(keys, "key").select("key", "c", "a", "b", "row"), "crowd")
 
     def stars(crowd: DataFrame) -> DataFrame:
         return crowd.select(F.col("row").alias("u"), F.explode(F.array("a", "b")).alias("v"))
 
     rows = _wholes(alive, bits)
     shared = scratch.cut(_shared(rows), "shared")
-    crowd = scratch.cut(rows.join(shared.where("c > 3"), "key").select("row", "a", "b"), "crowd")
-    gone = go(met(few(shared).union(stars(crowd))))
+    gone = go(met(few(shared).union(stars(crowded(rows, shared)))))
     went.append(gone)
 
-    rest = alive.join(gone, "row", "left_anti")
-    rows, full = _variants(rest, bits, weak), False
+    rest = scratch.cut(alive.join(gone, "row", "left_anti"), "rest")
+    full = False
     # A few segments at a time, whose shuffle files go before the next ones come; keys of two segments differ.
-    shared = []
+    shared, crowd = [], []
     for at in range(0, segments, AT_ONCE):
-        shared.append(scratch.cut(_shared(_variants(rest, bits, weak, at, at + AT_ONCE)), "shared"))
+        rows = _variants(rest, bits, weak, at, at + AT_ONCE)
+        shared.append(scratch.cut(_shared(rows), "shared"))
+        crowd.append(crowded(rows, shared[-1]))
         scratch.sweep()
-    shared = reduce(DataFrame.union, shared)
+    shared, crowd = reduce(DataFrame.union, shared), reduce(DataFrame.union, crowd)
     while True:
-        crowd = scratch.cut(rows.join(shared.where("c > 3"), "key").drop("x"), "crowd")
         small = crowd if full else crowd.where(f"c <= {CROWD}")
         small = scratch.cut(small.join(size, "row").select("key", "row", "p"), "small")
         pairs = small.alias("s").join(small.alias("t"), F.expr(f"s.key = t.key and s.row < t.row and {close('s.p', 't.p')}")).selectExpr("s.row as u", "t.row as v")
         many = crowd.where("false" if full else f"c > {CROWD}")
-        found = go(met(few(shared).union(stars(many))).union(pairs).distinct())
+        found = go(met(few(shared).union(stars(many))).union(fresh(pairs.distinct())).distinct())
         went.append(found)
         if full or many.isEmpty():
             break
         full = found.isEmpty()
         rows = scratch.cut(many.select("key", "row").join(found, "row", "left_anti"), "rest")
         shared = scratch.cut(_shared(rows), "shared")
+        crowd = crowded(rows, shared)
     gone = scratch.cut(reduce(DataFrame.union, went), "gone")
     scratch.drop(alive)
     return gone
