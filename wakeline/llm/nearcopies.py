@@ -20,17 +20,16 @@ No two sets are compared twice.
 """
 
 import math
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import Scratch, components
+from wakeline.llm.common import Scratch, components, small_batches
 from wakeline.llm.simhash import _hashes
 
 WIDTH = 5
@@ -45,8 +44,6 @@ AT_ONCE = 5
 CHECK = 128
 #: Standard deviations of the bits kept for the check that a similar pair may differ by.
 SIGMAS = 4.0
-#: Rows that go to Python at a time; texts and sets are long, and both sides hold a batch.
-BATCH = 500
 _BLOCK = 1 << 14
 
 
@@ -143,32 +140,20 @@ def _shared(rows: DataFrame) -> DataFrame:
     return own.where("c > 1").select("key", "c", "a", "b", F.expr("if(c = 3, x ^ a ^ b, a)").alias("x"))
 
 
-@contextmanager
-def _batches(spark: SparkSession) -> Iterator[None]:
-    """Plans run inside send ``BATCH`` rows at a time to Python."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(BATCH))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, width: int, least: float) -> DataFrame:
     """The pairs (u, v) of rows that are similar."""
     rows = scratch.cut(pairs.select(F.col("u").alias("row")).union(pairs.select("v")).distinct(), "ends")
     data = F.pandas_udf(lambda ts: pd.Series([shingles(t, width).tobytes() for t in ts]), "binary")
     # Rows of one text and id are one row here.
     texts = docs.join(rows, "row", "left_semi").select("row", data("text").alias("s"))
-    with _batches(scratch.spark):
+    with small_batches(scratch.spark):
         sets = scratch.cut(texts.groupBy("row").agg(F.max("s").alias("s")), "sets")
 
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least - 1e-9 for x, y in zip(a, b, strict=True)], dtype=bool)
 
     left, right = sets.select(F.col("row").alias("v"), F.col("s").alias("sv")), sets.select(F.col("row").alias("u"), F.col("s").alias("su"))
-    with _batches(scratch.spark):
+    with small_batches(scratch.spark):
         out = scratch.cut(pairs.join(left, "v").join(right, "u").where(F.pandas_udf(near, "boolean")("su", "sv")).select("u", "v"), "similar")
     scratch.drop(sets)
     return out
@@ -191,7 +176,7 @@ def removed(docs: DataFrame, width: int = WIDTH, least: float = LEAST, recall: f
     """
     scratch = Scratch(docs.sparkSession, "nearcopies")
     segments, bits, weak = shape(docs.count(), least, recall)
-    with _batches(scratch.spark):
+    with small_batches(scratch.spark):
         prints = scratch.cut(_prints(docs, width, segments, bits, weak), "prints")
     first = prints.groupBy("alone", "digest").agg(F.min(F.struct(F.isnull("id"), "id", "row")).alias("s")).select("s.row")
     alive = scratch.cut(prints.join(first, "row", "left_semi").dropDuplicates(["row"]), "distinct")

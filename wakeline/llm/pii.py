@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import Scratch, table
+from wakeline.llm.common import Scratch, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 REACH = 6
@@ -159,7 +159,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_su
     scratch = Scratch(docs.sparkSession, "pii")
     seen = docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(_analyse, _ANALYSED)(F.col(text_col)).alias("p"), F.col(text_col).alias("text"))
     body = F.when(F.size("p.near") > 0, F.col("text")).alias("body")
-    seen = scratch.cut(seen.select("doc_id", "p.*", body, F.monotonically_increasing_id().alias("row")), "analysed")
+    with small_batches(scratch.spark):
+        seen = scratch.cut(seen.select("doc_id", "p.*", body, F.monotonically_increasing_id().alias("row")), "analysed")
     near = seen.where("size(near) > 0").select("row", "text_hash", F.explode("near").alias("n")).select("row", "text_hash", "n.*")
     total = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("h")).distinct().count()
     pairs = near.select("entity", "term", "text_hash").distinct()
