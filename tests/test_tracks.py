@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import os
 import random
 
 import duckdb
@@ -121,6 +122,16 @@ def test_high_latitude(spark):
     assert {r.cluster_id for r in clusters.dbscan(df, eps, 2, mode="exact").collect()} == {0}
 
 
+def test_merge_of_centers_that_change(spark):
+    """Averages over a shuffle differ in their last bits each time they are computed; no cluster may get lost by that."""
+    rows = [(c, 20.0 + c // 2 * 3 + c % 2 * 0.004, 120.0) for c in range(6) for _ in range(3)]
+    members = spark.createDataFrame(rows, "cluster_id int, lat double, lon double")
+    noise = F.udf(lambda x: x + int.from_bytes(os.urandom(4), "big") * 1e-19 * x, "double").asNondeterministic()
+    centers = members.dropDuplicates().select("cluster_id", noise("lat").alias("center_lat"), F.col("lon").alias("center_lon"))
+    got = [(r.port_id, round(r.center_lat, 6), r.num_points) for r in clusters.merge(members, centers).orderBy("port_id").collect()]
+    assert got == [(0, 20.002, 6), (1, 23.002, 6), (2, 26.002, 6)]
+
+
 def test_empty_track(spark):
     from wakeline.plans import pipelines
 

@@ -36,7 +36,11 @@ def _cells(df: DataFrame, eps: float, mode: str) -> tuple[DataFrame, list[str],
 
 
 def dbscan(points: DataFrame, eps: float, min_samples: int, key: list[str] = (), mode: str = "grid", border: str = "last") -> DataFrame:
-    """``points(*key, row_ord, lat, lon)`` with ``cluster_id``; ``eps`` in radians, inclusive."""
+    """``points(*key, row_ord, lat, lon)`` with ``cluster_id``; ``eps`` in radians, inclusive.
+
+    ``points`` is read twice and joined to itself on positions, which must be the same to the last bit both
+    times: averages over a shuffle are not, and have to be written first.
+    """
     key = list(key)
     scratch = Scratch(points.sparkSession, "dbscan")
     spots = points.groupBy(*key, "lat", "lon").agg(F.count("*").alias("w"), F.min("row_ord").alias("pid"))
@@ -94,6 +98,7 @@ def first_stage(slow: DataFrame, eps: float = 0.01, min_samples: int = 10) -> tu
 def merge(members: DataFrame, summary: DataFrame, eps_km: float = 1.0) -> DataFrame:
     """Ports: clusters whose centres chain within ``eps_km``, measured anew over their points."""
     centers = summary.select(F.col("cluster_id").cast("long").alias("row_ord"), F.col("center_lat").alias("lat"), F.col("center_lon").alias("lon"))
+    centers = Scratch(members.sparkSession, "merge").cut(centers, "centers")
     port = dbscan(centers, eps_km / EARTH_KM, 1).select(F.col("row_ord").cast("int").alias("cluster_id"), F.col("cluster_id").alias("port_id"))
     return summarise(members.join(port, "cluster_id"), ["port_id"])
 
