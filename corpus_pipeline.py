@@ -3,13 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return
 the columns of documents.  Null texts have no letter and go in the first stage.  Near-duplicates are told by
 row, so that different texts under one id are different documents, and all rows but one of a copied row go.
+
+Stages that send whole texts to Python write what they return, as batches have the size that holds when a plan runs.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.llm import decontam, langid, mixing, nearcopies, pii
-from wakeline.llm.common import Scratch, table
+from wakeline.llm.common import Scratch, small_batches, table
 
 #: A document in which this many benchmark items occur goes.
 ITEMS = 2
@@ -22,8 +24,9 @@ ITEM_SHARE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: those without text or without a letter."""
-    pred = langid.identify(docs, keep=tuple(docs.columns))
-    return pred.where(F.col("lang_pred") != langid.UNKNOWN).select("kept.*")
+    with small_batches(spark):
+        pred = langid.identify(docs, keep=tuple(docs.columns))
+        return Scratch(spark, "pipeline").cut(pred.where(F.col("lang_pred") != langid.UNKNOWN).select("kept.*"), "language")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +54,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     got = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
     whole = F.exists("items", lambda i: (i["share"] >= ITEM_SHARE) & (i["words"] >= decontam.WIDTH))
     clean = (F.col("n_items") < ITEMS) & (F.col("n_hit") < F.greatest(F.col("n_words") * HIT_SHARE, F.lit(1))) & ~whole
-    return got.where(clean).select("kept.*")
+    with small_batches(spark):
+        return Scratch(spark, "pipeline").cut(got.where(clean).select("kept.*"), "decontaminate")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay, with their texts sanitised."""
-    return pii.sanitise(docs)
+    with small_batches(spark):
+        return Scratch(spark, "pipeline").cut(pii.sanitise(docs), "personal_data")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,6 +86,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
+        if k + 1 < len(STAGES) and not scratch.wrote(docs):
             docs = scratch.cut(docs, name)
     return docs

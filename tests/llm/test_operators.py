@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import random
 import re
@@ -591,6 +592,45 @@ def test_pipeline(spark):
     assert all(abs(taken - target) <= max(30, 0.05 * target) for target, taken in per.values())
 
 
+def test_batches_of_the_pipeline(spark, monkeypatch):
+    """Texts go to Python at most BATCH rows at a time."""
+    import corpus_pipeline
+    from wakeline.llm.common import BATCH
+
+    plain = F.pandas_udf
+
+    def checked(f, kind):
+        @functools.wraps(f)
+        def run(*columns):
+            assert all(len(c) <= BATCH for c in columns)
+            return f(*columns)
+
+        return plain(run, kind)
+
+    monkeypatch.setattr(F, "pandas_udf", checked)
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").coalesce(1)
+    assert docs.count() > BATCH
+    for stage in (corpus_pipeline.language, corpus_pipeline.decontaminate, corpus_pipeline.personal_data):
+        assert stage(spark, docs, sf).select(F.sum(F.length("text"))).first()[0] > 0
+
+
+def test_pii_terms_are_sought_once(spark, monkeypatch):
+    """A filter on the spans does not evaluate them a second time."""
+    sought, seek = spark.sparkContext.accumulator(0), pii._everywhere
+
+    def counted(texts, bases, terms):
+        sought.add(len(texts))
+        return seek(texts, bases, terms)
+
+    counted.__annotations__ = seek.__annotations__
+    monkeypatch.setattr(pii, "_everywhere", counted)
+    texts = [f"filler{'abcdefghij'[i % 10]}{'abc'[i // 10]} words only" for i in range(30)]
+    texts += [f"write to jo@corp.example about zebra{'abcdef'[i]} and quagga soon" for i in range(6)]
+    found = pii.find(docs(spark, texts)).where("size(spans) > size(base)").collect()
+    assert len(found) == 6 and sought.value == 6
+
+
 CLASH = ("kept", "_p", "key", "spans", "rest", "lang_pred", "score", "held_out", "n_items", "n_hit", "n_words", "contaminated", "fp", "component_id", "row", "size", "copies", "target")
 
 

@@ -185,7 +185,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_su
     # An entity with any term in its text has terms near it, so ``near`` knows the texts of each.
     told = near.select("row", "entity").distinct().join(flagged, "entity").groupBy("row").agg(F.collect_set("term").alias("terms"))
     held = seen.where("body is not null").join(told, "row").select("row", F.pandas_udf(_everywhere, _SPAN)("body", "base", "terms").alias("more"))
-    more = held.where("size(more) > 0")
+    # A filter on what is not written yet would evaluate it a second time, with Python workers of its own.
+    with small_batches(scratch.spark):
+        more = scratch.cut(held, "more").where("size(more) > 0")
     k = "array('email', 'ip', 'card', 'phone', 'term')"
     order = F.expr(
         "array_sort(concat(base, coalesce(more, array())), (a, b) -> case when a.start <> b.start then a.start - b.start "
@@ -222,7 +224,9 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # The rest of a row goes along as a struct, whatever its columns are called.
     rest = [c for c in docs.columns if c != text_col]
     keyed = docs.select(F.md5(text_col).alias("key"), F.col(text_col).alias("text"), F.struct(F.lit(0), *rest).alias("rest"))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.pandas_udf(_redact_pair, "string")(F.col("text"), F.col("spans")))
+    # Every row goes to Python, whatever its branch; texts go that have spans.
+    spanned = F.when(F.col("spans").isNotNull(), F.col("text"))
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.pandas_udf(_redact_pair, "string")(spanned, F.col("spans")))
     out = keyed.join(found, "key", "left").withColumn("text", text)
     return out.select(*(F.col("text" if c == text_col else f"rest.`{c}`").alias(c) for c in docs.columns))
 
