@@ -47,10 +47,6 @@ class Scratch:
         out._wakeline_path = path
         return out
 
-    def wrote(self, df: DataFrame) -> bool:
-        """Whether the frame is such a table, of this scratch or another, and not a plan on one."""
-        return hasattr(df, "_wakeline_path")
-
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
