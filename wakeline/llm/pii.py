@@ -155,10 +155,10 @@ def _terms(text: Column) -> Column:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT, discloses: float = DISCLOSES) -> DataFrame:
-    """doc_id, row (unique), base spans and all spans, both by start, then kind as listed and ``term`` last."""
+    """doc_id, row (unique), base spans and all spans, both by start, then kind as listed and ``term`` last, and body, the text if it has spans."""
     scratch = Scratch(docs.sparkSession, "pii")
     seen = docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(_analyse, _ANALYSED)(F.col(text_col)).alias("p"), F.col(text_col).alias("text"))
-    body = F.when(F.size("p.near") > 0, F.col("text")).alias("body")
+    body = F.when(F.size("p.base") > 0, F.col("text")).alias("body")
     with small_batches(scratch.spark):
         seen = scratch.cut(seen.select("doc_id", "p.*", body, F.monotonically_increasing_id().alias("row")), "analysed")
     near = seen.where("size(near) > 0").select("row", "text_hash", F.explode("near").alias("n")).select("row", "text_hash", "n.*")
@@ -181,7 +181,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_su
         held = texts.join(wanted, "term").distinct().groupBy("term").agg(F.count("*").alias("d"))
         flagged = scratch.cut(support.join(held, "term").where(share).select("entity", "term"), "flagged")
     if flagged is None:
-        return seen.select("doc_id", "row", "base", F.col("base").alias("spans"))
+        return seen.select("doc_id", "row", "base", F.col("base").alias("spans"), "body")
     # An entity with any term in its text has terms near it, so ``near`` knows the texts of each.
     told = near.select("row", "entity").distinct().join(flagged, "entity").groupBy("row").agg(F.collect_set("term").alias("terms"))
     held = seen.where("body is not null").join(told, "row").select("row", F.pandas_udf(_everywhere, _SPAN)("body", "base", "terms").alias("more"))
@@ -193,7 +193,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_su
         "array_sort(concat(base, coalesce(more, array())), (a, b) -> case when a.start <> b.start then a.start - b.start "
         f"else cast(array_position({k}, a.kind) - array_position({k}, b.kind) as int) end)"
     )
-    return seen.join(more, "row", "left").select("doc_id", "row", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(order).alias("spans"))
+    return seen.join(more, "row", "left").select("doc_id", "row", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(order).alias("spans"), "body")
 
 
 def _join(spans: str) -> Column:
@@ -220,14 +220,14 @@ def redact(text: str | None, spans) -> str | None:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with their texts sanitised, columns and rows kept.  Rows of one id share their text's spans by text, not by id."""
     found = find(docs.select(F.md5(text_col).alias("doc_id"), F.col(text_col)), "doc_id", text_col).where("size(spans) > 0")
-    found = found.groupBy("doc_id").agg(F.first("spans").alias("spans")).withColumnRenamed("doc_id", "key")
+    found = found.groupBy("doc_id").agg(F.first(F.struct("body", "spans")).alias("s"))
+    scratch = Scratch(docs.sparkSession, "pii")
+    with small_batches(scratch.spark):
+        found = scratch.cut(found.select(F.col("doc_id").alias("key"), F.pandas_udf(_redact_pair, "string")("s.body", "s.spans").alias("redacted")), "redacted")
     # The rest of a row goes along as a struct, whatever its columns are called.
     rest = [c for c in docs.columns if c != text_col]
     keyed = docs.select(F.md5(text_col).alias("key"), F.col(text_col).alias("text"), F.struct(F.lit(0), *rest).alias("rest"))
-    # Every row goes to Python, whatever its branch; texts go that have spans.
-    spanned = F.when(F.col("spans").isNotNull(), F.col("text"))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.pandas_udf(_redact_pair, "string")(spanned, F.col("spans")))
-    out = keyed.join(found, "key", "left").withColumn("text", text)
+    out = keyed.join(found, "key", "left").withColumn("text", F.coalesce("redacted", "text"))
     return out.select(*(F.col("text" if c == text_col else f"rest.`{c}`").alias(c) for c in docs.columns))
 
 
